@@ -36,4 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from chronotext.catalog import corpora  # noqa: F401
+    from chronotext.catalog import corpora, representations, scoring  # noqa: F401

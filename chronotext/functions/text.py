@@ -36,19 +36,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    """The n-grams of one length."""
+    if n == 1:
+        return tokens
+    starts = F.sequence(F.lit(0), F.size(tokens) - n)
+    joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + F.lit(j)) for j in range(n)]))
+    return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column, lo: int, hi: int) -> Column:
     """All n-grams of lengths lo..hi, tokens joined by one space."""
-    parts = []
-    for n in range(lo, hi + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.sequence(F.lit(0), F.size(tokens) - n)
-        joined = F.transform(
-            starts, lambda i, n=n: F.concat_ws(" ", *[F.get(tokens, i + F.lit(j)) for j in range(n)])
-        )
-        parts.append(F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.concat(*[_runs(tokens, n) for n in range(lo, hi + 1)])
 
 
 def short_model(name: Column) -> Column:
