@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from chronotext.catalog import query, table
 from chronotext.functions.hashing import uniform
-from chronotext.functions.text import ngrams, terms, words
+from chronotext.functions.text import one_per_row, words
 from chronotext.functions.vectors import unit
 from chronotext.operators.encode import HashingEncoder, encode, misses, read_store
-from chronotext.operators.tfidf import document_frequencies, tfidf_fit, tfidf_transform
+from chronotext.operators.tfidf import document_frequencies, document_terms, tfidf_fit, tfidf_transform
 from chronotext.operators.wordaverage import average_vectors
 from chronotext.session import fresh_path, stage
 
@@ -19,11 +19,10 @@ VECTOR_DIM = 8
 ENCODER_DIM = 32
 
 SQL_TERMS = r"""
-tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0) AS t FROM documents),
-grams AS (
-  SELECT doc_id, unnest(t) AS term FROM tokens
-  UNION ALL
-  SELECT doc_id, unnest([t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) FROM tokens),
+lists AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0) AS t FROM documents),
+tokens AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM lists),
+pairs AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM tokens),
+grams AS (SELECT doc_id, a AS term FROM pairs UNION ALL SELECT doc_id, a || ' ' || b FROM pairs WHERE b IS NOT NULL),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 freq AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 idf AS (
@@ -44,7 +43,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed_word_vectors(corpus: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
     """A word vector table for the corpus: every value is the uniform of `word:dimension`."""
-    found = corpus.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
+    found = one_per_row(corpus, F.array_distinct(words(F.col("text"))), "word").distinct()
     values = [uniform(42, "vec", "word", F.lit(i)) for i in range(dim)]
     return stage(found.select("word", F.array(*values).alias("vector")), "word-vectors")
 
@@ -54,20 +53,19 @@ def hashed_word_vectors(corpus: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
     f"WITH {SQL_WORDS} SELECT doc_id AS row_id, word, count(*) AS n FROM words GROUP BY ALL",
 )
 def word_tokens(spark, sf_dir):
-    found = texts(spark, sf_dir).select("row_id", F.explode(words(F.col("text"))).alias("word"))
+    found = one_per_row(texts(spark, sf_dir), words(F.col("text")), "word", "row_id")
     return found.groupBy("row_id", "word").agg(F.count("*").alias("n"))
 
 
 @query(
     "text_trigrams",
-    r"""WITH tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0) AS t FROM documents),
-grams AS (SELECT doc_id, unnest([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)]) AS term
-          FROM tokens WHERE len(t) >= 3)
-SELECT term, count(*) AS n FROM grams GROUP BY ALL""",
+    r"""WITH lists AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0) AS t FROM documents),
+tokens AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM lists),
+runs AS (SELECT a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT a || ' ' || b || ' ' || c AS term, count(*) AS n FROM runs WHERE c IS NOT NULL GROUP BY ALL""",
 )
 def text_trigrams(spark, sf_dir):
-    grams = ngrams(terms(F.col("text")), 3, 3)
-    found = texts(spark, sf_dir).select(F.explode(grams).alias("term"))
+    found = one_per_row(document_terms(texts(spark, sf_dir), (3, 3)), F.col("terms"), "term")
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -96,9 +94,10 @@ def tfidf_weights(spark, sf_dir):
 @query(
     "tfidf_transform_other",
     f"""WITH {SQL_TERMS},
-t2 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0) AS t FROM benchmark),
-g2 AS (SELECT item_id, unnest(t) AS term FROM t2
-       UNION ALL SELECT item_id, unnest([t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) FROM t2),
+l2 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0) AS t FROM benchmark),
+t2 AS (SELECT item_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM l2),
+p2 AS (SELECT item_id, a, lead(a) OVER (PARTITION BY item_id ORDER BY i) AS b FROM t2),
+g2 AS (SELECT item_id, a AS term FROM p2 UNION ALL SELECT item_id, a || ' ' || b FROM p2 WHERE b IS NOT NULL),
 raw AS (SELECT item_id, term, count(*) * any_value(idf) AS w FROM g2 JOIN idf USING (term) GROUP BY ALL)
 SELECT item_id AS row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters removed by trimming, the token patterns and the date suffix of model names.
@@ -46,10 +46,22 @@ def _runs(tokens: Column, n: int) -> Column:
 
 
 def ngrams(tokens: Column, lo: int, hi: int) -> Column:
-    """All n-grams of lengths lo..hi, tokens joined by one space."""
+    """All n-grams of lengths lo..hi, tokens joined by one space.
+
+    `tokens` should be a plain column: an expression here would be evaluated again for every n-gram.
+    """
     return F.concat(*[_runs(tokens, n) for n in range(lo, hi + 1)])
 
 
+def one_per_row(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """Take an array apart, one row per element, beside the columns `keep`.
+
+    A plain explode makes the planner add a filter on the array's size below it, which evaluates the whole array
+    expression a second time (and undoes the split into steps); the outer form followed by a null filter does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def short_model(name: Column) -> Column:
     """Model name without a trailing date; empty when missing."""
     return F.coalesce(F.regexp_replace(name, DATE_SUFFIX, ""), F.lit(""))
