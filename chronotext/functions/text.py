@@ -62,6 +62,18 @@ def one_per_row(df: DataFrame, array: Column, name: str, *keep: str) -> DataFram
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+def is_json(text: Column) -> Column:
+    """True when the whole text is one JSON value.
+
+    The JSON functions read the first value and ignore what follows, and some accept single quotes. So the text is put
+    into an object before a key made of its own digest: reading must arrive at that key, and strictly.
+    """
+    mark = F.md5(text)
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"'), mark, F.lit('":0}'))
+    whole = F.json_object_keys(wrapped) == F.array(F.lit("v"), mark)
+    return F.coalesce(whole & F.try_parse_json(wrapped).isNotNull(), F.lit(False))
+
+
 def short_model(name: Column) -> Column:
     """Model name without a trailing date; empty when missing."""
     return F.coalesce(F.regexp_replace(name, DATE_SUFFIX, ""), F.lit(""))

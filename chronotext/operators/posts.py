@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.text import one_per_row, outer_unquoted, starts_with_any, strip, word_count
+from chronotext.functions.text import is_json, outer_unquoted, starts_with_any, strip, word_count
 from chronotext.operators.ranking import positions
 
 # Post lengths in words and the prefixes of lines that are not posts.
@@ -32,7 +32,7 @@ def parse_posts(responses: DataFrame, content_col: str = "content", id_col: str
     otherwise lines: a JSON object with `text`, a quoted text, or any line that does not look like a heading.
     """
     raw = responses.select(id_col, F.col(content_col).alias("_raw"))
-    read = raw.withColumn("_json", F.try_parse_json("_raw"))
+    read = raw.withColumn("_json", F.when(is_json(F.col("_raw")), F.try_parse_json("_raw")))
     in_object = F.try_variant_get("_json", "$.posts", "array<variant>")
     in_list = F.try_variant_get("_json", "$", "array<variant>")
     parts = read.withColumns({"_object": in_object, "_list": in_list}).withColumn("_items", F.coalesce("_object", "_list"))
@@ -46,7 +46,7 @@ def parse_posts(responses: DataFrame, content_col: str = "content", id_col: str
         id_col, F.posexplode_outer(F.split("_raw", LINE_BREAK)).alias("place", "_line")
     )
     tidy = lines.withColumn("_line", strip(F.btrim(strip(F.col("_line")), F.lit("-")))).where("_line <> ''")
-    read_line = tidy.withColumn("_json", F.try_parse_json("_line"))
+    read_line = tidy.withColumn("_json", F.when(is_json(F.col("_line")), F.try_parse_json("_line")))
     line = F.col("_line")
     quoted = line.startswith('"') & line.endswith('"') & (F.length(line) > 2)
     post = (
