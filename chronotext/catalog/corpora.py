@@ -16,6 +16,7 @@ from chronotext.operators.trends import (
     ordered_labels,
     share_within,
 )
+from chronotext.session import stage
 from chronotext.sources.corpus import normalise, with_label_codes
 
 LANGUAGE_NAMES = {"de": "german", "fr": "french"}
@@ -89,7 +90,9 @@ SELECT strftime(m, '%Y-%m-%d') AS month, label_name, n,
 FROM counts""",
 )
 def monthly_shares_with_cutoff(spark, sf_dir):
-    split = temporal_split(document_corpus(spark, sf_dir), 0.3)
+    # the texts are read once; what follows needs only labels and times
+    narrow = stage(document_corpus(spark, sf_dir).select("row_id", "label_name", "timestamp"), "narrow")
+    split = temporal_split(narrow, 0.3)
     shares = monthly_shares(split, test_cutoff(split))
     return shares.select(
         iso("month").alias("month"), "label_name", "n", F.round("share", 6).alias("share"), iso("cutoff").alias("cutoff")

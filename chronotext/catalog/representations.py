@@ -12,7 +12,7 @@ from chronotext.functions.vectors import unit
 from chronotext.operators.encode import HashingEncoder, encode, misses, read_store
 from chronotext.operators.tfidf import document_frequencies, document_terms, tfidf_fit, tfidf_transform
 from chronotext.operators.wordaverage import average_vectors
-from chronotext.session import fresh_path, stage
+from chronotext.session import fresh_path, spread, stage
 
 SHIPPED_MIN_DF, SHIPPED_MAX_DF = 5, 0.95
 VECTOR_DIM = 8
@@ -43,7 +43,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed_word_vectors(corpus: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
     """A word vector table for the corpus: every value is the uniform of `word:dimension`."""
-    found = one_per_row(corpus, F.array_distinct(words(F.col("text"))), "word").distinct()
+    found = one_per_row(spread(corpus.select("text")), F.array_distinct(words(F.col("text"))), "word").distinct()
     values = [uniform(42, "vec", "word", F.lit(i)) for i in range(dim)]
     return stage(found.select("word", F.array(*values).alias("vector")), "word-vectors")
 

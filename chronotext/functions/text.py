@@ -26,6 +26,11 @@ def filled(text: Column) -> Column:
     return F.when(F.length(stripped) > 0, stripped)
 
 
+def has_text(text: Column) -> Column:
+    """True when anything but whitespace is there; stops at the first such character."""
+    return text.rlike(f"[^{WHITESPACE}]")
+
+
 def words(text: Column) -> Column:
     """ASCII words of two characters or more, lower-cased after matching."""
     return F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lower)

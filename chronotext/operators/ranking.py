@@ -10,46 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.session import stage
+from chronotext.session import held, stage
 
 FANOUT_BITS = 12
 POSITION_MASK = (1 << 33) - 1
 
 
-def nth_smallest(df: DataFrame, key: str, rank: int) -> tuple[int, int]:
-    """(value of the `rank`-th smallest non-null integer key, number of rows strictly below that value).
+def nth_smallest(df: DataFrame, key: str, rank: int) -> tuple[int, int, int]:
+    """The `rank`-th smallest non-null integer key, the number of rows below it and the number of rows equal to it.
 
-    Each pass counts at most 4,097 equal ranges of the remaining key interval; a 64-bit key needs at most six passes.
+    Each pass counts at most 4,097 ranges of the remaining interval and goes on within the extremes of the range that
+    holds the rank; a 64-bit key needs at most six passes, a key with few values one or two.
     """
     keys = df.select(F.col(key).cast("bigint").alias("k")).where("k IS NOT NULL")
     lo, hi, n = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
     if not 1 <= rank <= n:
         raise ValueError(f"rank {rank} is outside 1..{n}")
-    below = 0
+    below, equal = 0, n
     while lo < hi:
         shift = max(0, (hi - lo).bit_length() - FANOUT_BITS)
         counts = (
             keys.where(F.col("k").between(lo, hi))
             .groupBy(F.shiftright("k", shift).alias("b"))
-            .count()
-            .orderBy("b")
+            .agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
             .collect()
         )
-        for b, n_b in counts:
-            if below + n_b >= rank:
-                lo, hi = max(lo, b << shift), min(hi, (b << shift) + (1 << shift) - 1)
+        for b in sorted(counts):
+            if below + b["n"] >= rank:
+                lo, hi, equal = b["first"], b["last"], b["n"]
                 break
-            below += n_b
-    return lo, below
+            below += b["n"]
+    return lo, below, equal
 
 
 def cut_below(df: DataFrame, key: str, tie: str, n: int) -> Column:
     """Condition true for exactly the `n` rows lowest by (key, tie); `tie` is a unique integer.
 
-    The result is a plain comparison with literals, usable as a filter on any frame with the same columns.
+    The result is a plain comparison with literals, usable as a filter on any frame with the same columns. `df` is
+    read several times, so pass a narrow or held frame.
     """
-    value, below = nth_smallest(df, key, n)
-    last, _ = nth_smallest(df.where(F.col(key) == F.lit(value)), tie, n - below)
+    value, below, equal = nth_smallest(df, key, n)
+    if below + equal == n:
+        return F.col(key) <= F.lit(value)
+    last, _, _ = nth_smallest(df.where(F.col(key) == F.lit(value)), tie, n - below)
     return (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & (F.col(tie) <= F.lit(last)))
 
 
@@ -61,35 +64,37 @@ def quota_cut(rows: DataFrame, group: str, key: str, tie: str, quota: DataFrame)
     or below are left out of the result, groups smaller than their quota end at their last row.
     """
     slim = rows.select(group, F.col(key).alias("k"), F.col(tie).alias("t"))
-    top = slim.agg(F.max("k")).first()[0] or 0
-    sizes = slim.groupBy(group).agg(F.count("*").alias("n_rows"))
-    need = (
-        sizes.join(quota, group)
-        .where("quota > 0")
-        .select(group, F.least("n_rows", F.col("quota").cast("bigint")).alias("need"))
-    )
-    pool = slim
-    for level in (1, 2):
-        shift = max(0, top.bit_length() - FANOUT_BITS * level)
-        running = Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        edge = stage(
-            pool.groupBy(group, F.shiftright("k", shift).alias("b"))
-            .agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(running))
+    running = Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    with held(slim):
+        top = slim.agg(F.max("k")).first()[0] or 0
+        sizes = slim.groupBy(group).agg(F.count("*").alias("n_rows"))
+        need = (
+            sizes.join(quota, group)
+            .where("quota > 0")
+            .select(group, F.least("n_rows", F.col("quota").cast("bigint")).alias("need"))
+        )
+        pool = slim
+        for level in (1, 2):
+            shift = max(0, top.bit_length() - FANOUT_BITS * level)
+            edge = stage(
+                pool.groupBy(group, F.shiftright("k", shift).alias("b"))
+                .agg(F.count("*").alias("n"))
+                .withColumn("upto", F.sum("n").over(running))
+                .join(need, group)
+                .where("upto >= need AND upto - n < need")
+                .select(group, "b", (F.col("need") - F.col("upto") + F.col("n")).alias("need")),
+                "edge",
+            )
+            pool = pool.join(edge.select(group, "b"), group).where(F.shiftright("k", shift) == F.col("b")).drop("b")
+            need = edge.select(group, "need")
+        in_range = Window.partitionBy(group).orderBy("k", "t")
+        cuts = (
+            pool.withColumn("rank", F.row_number().over(in_range))
             .join(need, group)
-            .where("upto >= need AND upto - n < need")
-            .select(group, "b", (F.col("need") - F.col("upto") + F.col("n")).alias("need")),
-            "edge",
+            .where("rank = need")
+            .select(group, F.col("k").alias("cut_key"), F.col("t").alias("cut_tie"))
         )
-        pool = pool.join(edge.select(group, F.col("b")), group).where(F.shiftright("k", shift) == F.col("b")).drop("b")
-        need = edge.select(group, "need")
-    in_range = Window.partitionBy(group).orderBy("k", "t")
-    return (
-        pool.withColumn("rank", F.row_number().over(in_range))
-        .join(need, group)
-        .where("rank = need")
-        .select(group, F.col("k").alias("cut_key"), F.col("t").alias("cut_tie"))
-    )
+        return stage(cuts, "cuts")
 
 
 def within_cut(key: str, tie: str) -> Column:
@@ -105,15 +110,15 @@ def number_in_order(ordered: DataFrame, name: str) -> DataFrame:
 
 def _dense(marked: DataFrame, name: str) -> DataFrame:
     part = F.shiftright("_at", 33)
-    counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the sort, so this window stays small
-    offsets = stage(
-        counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), f"{name}-offsets"
-    )
+    sizes = sorted(tuple(r) for r in marked.groupBy(part).count().collect())  # one row per task of the sort
+    offsets, before = [], 0
+    for index, n in sizes:
+        offsets.append((index, before))
+        before += n
+    table = marked.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint")
     return (
         marked.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(table, "_part")
         .withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND(F.lit(POSITION_MASK)))
         .drop("_at", "_part", "_offset")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.functions.hashing import hash60, pick, uniform
 from chronotext.operators.ranking import cut_below, positions
 from chronotext.operators.trends import share_within
-from chronotext.session import stage
+from chronotext.session import held, stage
 
 # Fixed value: seconds in a day.
 DAY_SECONDS = 86400
@@ -111,12 +111,13 @@ def label_noise(
     df: DataFrame, rate: float, seed: int = 42, label_col: str = "label", id_col: str = "row_id"
 ) -> DataFrame:
     """Give exactly int(n * rate) rows another of the occurring codes; names stay as they are."""
-    n_flip = int(df.count() * rate)
-    if n_flip == 0:
-        return df
     codes = df.agg(F.sort_array(F.collect_set(label_col))).scalar()
     keyed = df.withColumn("_draw", hash60(seed, "noise", id_col))
-    flipped = cut_below(keyed, "_draw", id_col, n_flip)
+    with held(keyed.select("_draw", id_col)) as keys:
+        n_flip = int(keys.count() * rate)
+        if n_flip == 0:
+            return df
+        flipped = cut_below(keys, "_draw", id_col, n_flip)
     other = F.filter("_codes", lambda c: c != F.col(label_col))
     swapped = F.element_at(other, pick(uniform(seed, "swap", id_col), F.size(other)) + 1)
     return (

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -57,3 +60,22 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep `df` in executor memory or on their disks while several jobs read it; a lost part is computed again."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when they come from fewer files than there are task slots; else leave them in place.
+
+    Meant before costly work on each row: a file may be a single split, whatever its size.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if 0 < len(df.inputFiles()) < slots else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.functions.text import filled, strip
+from chronotext.functions.text import has_text, strip
 from chronotext.operators.ranking import number_in_order, positions
 from chronotext.session import stage
 
@@ -22,6 +22,8 @@ NO_LABEL = "unlabeled"
 UNMAPPED = -1
 SAVED_COLUMNS = "text string, label_name string, timestamp timestamp, label int"
 
+FEW_LABELS = 10_000
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | T.StructType | None = None) -> DataFrame:
     """Any user table. CSV needs no inference pass: columns stay strings unless a schema is given."""
@@ -56,11 +58,15 @@ def day_after_origin(row_id: Column, origin: str = ORIGIN) -> Column:
 def label_codes(named: DataFrame, label_col: str = "label_name") -> DataFrame:
     """(label_name, label): codes 0..K-1 by sorted name; null names get no code."""
     names = named.select(F.col(label_col).alias("label_name")).where("label_name IS NOT NULL").distinct()
-    return positions(names, ["label_name"], "label").withColumn("label", F.col("label").cast("int"))
+    few = sorted(r[0] for r in names.limit(FEW_LABELS + 1).collect())
+    if len(few) <= FEW_LABELS:
+        return named.sparkSession.createDataFrame(list(zip(few, range(len(few)))), "label_name string, label int")
+    many = positions(names, ["label_name"], "label")
+    return stage(many.select("label_name", F.col("label").cast("int").alias("label")), "label-codes")
 
 
 def with_label_codes(named: DataFrame) -> DataFrame:
-    codes = stage(label_codes(named), "label-codes")
+    codes = label_codes(named)
     return named.join(codes, "label_name", "left").withColumn("label", F.coalesce("label", F.lit(UNMAPPED)))
 
 
@@ -93,8 +99,8 @@ def normalise(
     has_label = label_col is not None and label_col in df.columns
     has_time = timestamp_col is not None and timestamp_col in df.columns
     missing_time = F.lit(None).cast("timestamp")
-    kept = df.select(
-        filled(F.col(text_col).cast("string")).alias("text"),
+    kept = df.where(has_text(F.col(text_col).cast("string"))).select(
+        strip(F.col(text_col).cast("string")).alias("text"),
         (F.coalesce(renamed_labels(F.col(label_col), rename), F.lit(NO_LABEL)) if has_label else F.lit(NO_LABEL)).alias(
             "label_name"
         ),
@@ -102,14 +108,19 @@ def normalise(
             "timestamp"
         ),
         *([F.col(order_by).alias("_key")] if order_by else []),
-    ).where("text IS NOT NULL")
+    )
 
     if order_by:
         # only keys are sorted and written; the texts move once, in the join
         numbered = kept.join(positions(kept.select("_key"), ["_key"], "row_id"), "_key").drop("_key")
     else:
         numbered = number_in_order(kept, "row_id")
-    coded = with_label_codes(numbered) if has_label else numbered.withColumn("label", F.lit(0))
+    if has_label:
+        # the codes need only the labels of the kept rows, not their numbers
+        codes = label_codes(kept)
+        coded = numbered.join(codes, "label_name", "left")
+    else:
+        coded = numbered.withColumn("label", F.lit(0))
     return coded.select(
         "row_id",
         "text",

@@ -13,8 +13,9 @@ def test_nth_smallest(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "k bigint")
     ordered = sorted(values)
     for rank in {1, len(values) // 2 + 1, len(values)}:
-        value, below = nth_smallest(df, "k", rank)
+        value, below, equal = nth_smallest(df, "k", rank)
         assert value == ordered[rank - 1] and below == sum(v < value for v in values)
+        assert equal == values.count(value)
 
 
 def test_cut_below_breaks_a_large_tie_by_id(spark):
