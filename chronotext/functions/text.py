@@ -26,6 +26,16 @@ def filled(text: Column) -> Column:
     return F.when(F.length(stripped) > 0, stripped)
 
 
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Replace or add `name` by a costly `value` that later filters will read.
+
+    The planner moves a filter below the projection it reads from and repeats the expression there, once per mention;
+    it does not do so for the output of a generator.
+    """
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def has_text(text: Column) -> Column:
     """True when anything but whitespace is there; stops at the first such character."""
     return text.rlike(f"[^{WHITESPACE}]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.text import is_json, outer_unquoted, starts_with_any, strip, word_count
+from chronotext.functions.text import computed_once, is_json, outer_unquoted, starts_with_any, strip, word_count
 from chronotext.operators.ranking import positions
 
 # Post lengths in words and the prefixes of lines that are not posts.
@@ -32,21 +32,25 @@ def parse_posts(responses: DataFrame, content_col: str = "content", id_col: str
     otherwise lines: a JSON object with `text`, a quoted text, or any line that does not look like a heading.
     """
     raw = responses.select(id_col, F.col(content_col).alias("_raw"))
-    read = raw.withColumn("_json", F.when(is_json(F.col("_raw")), F.try_parse_json("_raw")))
+    read = computed_once(raw, F.when(is_json(F.col("_raw")), F.try_parse_json("_raw")), "_json")
     in_object = F.try_variant_get("_json", "$.posts", "array<variant>")
     in_list = F.try_variant_get("_json", "$", "array<variant>")
-    parts = read.withColumns({"_object": in_object, "_list": in_list}).withColumn("_items", F.coalesce("_object", "_list"))
+    parts = computed_once(
+        read.withColumns({"_object": in_object, "_list": in_list}), F.coalesce("_object", "_list"), "_items"
+    )
     by_json = parts.where("_items IS NOT NULL").select(
         id_col, F.col("_object").isNull().alias("_bare"), F.posexplode_outer("_items").alias("place", "_item")
     )
     bare = F.when(F.col("_bare") & _is_text(F.col("_item")), F.try_variant_get("_item", "$", "string"))
-    found = by_json.select(id_col, "place", strip(F.coalesce(_text_of(F.col("_item"), "$.text"), bare)).alias("post"))
+    from_json = strip(F.coalesce(_text_of(F.col("_item"), "$.text"), bare))
+    found = computed_once(by_json, from_json, "post").select(id_col, "place", "post")
 
     lines = parts.where("_items IS NULL AND _raw IS NOT NULL").select(
         id_col, F.posexplode_outer(F.split("_raw", LINE_BREAK)).alias("place", "_line")
     )
-    tidy = lines.withColumn("_line", strip(F.btrim(strip(F.col("_line")), F.lit("-")))).where("_line <> ''")
-    read_line = tidy.withColumn("_json", F.when(is_json(F.col("_line")), F.try_parse_json("_line")))
+    bare_line = strip(F.btrim(strip(F.col("_line")), F.lit("-")))
+    tidy = computed_once(lines, bare_line, "_line").where("_line <> ''")
+    read_line = computed_once(tidy, F.when(is_json(F.col("_line")), F.try_parse_json("_line")), "_json")
     line = F.col("_line")
     quoted = line.startswith('"') & line.endswith('"') & (F.length(line) > 2)
     post = (
@@ -54,13 +58,14 @@ def parse_posts(responses: DataFrame, content_col: str = "content", id_col: str
         .when(quoted, F.substring(line, F.lit(2), F.length(line) - 2))
         .when(~starts_with_any(line, LINE_PREFIXES), line)
     )
-    return found.unionByName(read_line.select(id_col, "place", post.alias("post"))).where("post <> ''")
+    by_line = computed_once(read_line, post, "post").select(id_col, "place", "post")
+    return found.unionByName(by_line).where("post <> ''")
 
 
 def clean_posts(posts: DataFrame, post_col: str = "post") -> DataFrame:
     """One line per post, outer quotes removed, 6 to 32 words, no heading prefix."""
     flat = F.replace(strip(F.col(post_col)), F.lit("\n"), F.lit(" "))
-    tidy = posts.withColumn(post_col, flat).withColumn(post_col, outer_unquoted(F.col(post_col)))
+    tidy = computed_once(computed_once(posts, flat, post_col), outer_unquoted(F.col(post_col)), post_col)
     kept = word_count(F.col(post_col)).between(SHORTEST, LONGEST)
     return tidy.where(kept & ~starts_with_any(F.col(post_col), POST_PREFIXES))
 
