@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions.text import computed_once, is_json, outer_unquoted, starts_with_any, strip, word_count
-from chronotext.operators.ranking import positions
+from chronotext.operators.ranking import positions, quota_cut, within_cut
 
 # Post lengths in words and the prefixes of lines that are not posts.
 SHORTEST, LONGEST = 6, 32
@@ -14,6 +14,8 @@ LINE_PREFIXES = ("posts", "class=")
 POST_PREFIXES = ("class=", "label=")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
+WINDOW_LIMIT = 1000
+
 
 def _is_text(value: Column) -> Column:
     return F.schema_of_variant(value) == "STRING"
@@ -73,11 +75,16 @@ def clean_posts(posts: DataFrame, post_col: str = "post") -> DataFrame:
 def first_distinct(posts: DataFrame, group: str, text: str, order: str, n: int) -> DataFrame:
     """(group, text, order): the first `n` distinct texts of each group, by first appearance.
 
-    The limit per group is applied before the shuffle as well, so a large group sends at most `n` rows per task.
+    `order` is a non-negative integer, unique in the group. For a small `n` the limit per group is applied before the
+    shuffle as well, so a large group sends at most `n` rows per task; a large `n` is found by counting.
     """
     once = posts.groupBy(group, text).agg(F.min(order).alias(order))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order, text))
-    return once.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    if n <= WINDOW_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+        return once.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    quota = once.select(group).distinct().withColumn("quota", F.lit(n))
+    cuts = quota_cut(once, group, order, order, quota)
+    return once.join(cuts, group).where(within_cut(order, order)).drop("cut_key", "cut_tie")
 
 
 def cyclic_reuse(draws: DataFrame, texts: DataFrame, group: str, text: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from chronotext.operators.augment import perturb
 from chronotext.operators.encode import HashingEncoder, encode, read_store
 from chronotext.operators.labelling import KeywordLabeler, class_names, label, parse_answers, resolved_k, with_prompt
-from chronotext.operators.posts import clean_posts, cyclic_reuse, parse_posts
+from chronotext.operators.posts import clean_posts, cyclic_reuse, first_distinct, parse_posts
 from chronotext.operators.sampling import cumulative, draw_by_cdf, label_noise, resample_by_prevalence
 from chronotext.sources.stores import append_metrics, content_signature, latest_metrics, load_run, read_metrics, save_run
 
@@ -49,6 +49,18 @@ def test_clean_posts(spark):
     assert [r.post for r in clean_posts(df).collect()] == ["a b c d e f", "a b c d e f"]
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_first_distinct(spark, monkeypatch, limit):
+    monkeypatch.setattr("chronotext.operators.posts.WINDOW_LIMIT", limit)
+    rows = [("g" if i % 3 else "h", f"t{i % 40}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, post string, seq bigint").repartition(5)
+    want = set()
+    for g in "gh":
+        seen = list(dict.fromkeys(t for h, t, _ in rows if h == g))[:25]
+        want |= {(g, t) for t in seen}
+    assert {(r.g, r.post) for r in first_distinct(df, "g", "post", "seq", 25).collect()} == want
+
+
 def test_cyclic_reuse(spark):
     texts = spark.createDataFrame([("a", "x", 0), ("a", "y", 1), ("b", "z", 0)], "g string, text string, seq bigint")
     draws = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 3)], "g string, i bigint")
