@@ -6,16 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.catalog import query, table
-from chronotext.operators.split import stratified_split, temporal_split, test_cutoff
-from chronotext.operators.trends import (
-    code_names,
-    future_reconstruction,
-    month,
-    monthly_shares,
-    named_predictions,
-    ordered_labels,
-    share_within,
-)
+from chronotext.operators.split import temporal_split, test_cutoff
+from chronotext.operators.trends import monthly_shares
 from chronotext.session import stage
 from chronotext.sources.corpus import normalise, with_label_codes
 

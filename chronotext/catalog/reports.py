@@ -40,7 +40,7 @@ def saved_corpus_csv(spark, sf_dir):
     path = fresh_path(spark, "corpus-csv")
     write_corpus(corpus, path, "csv")
     saved = read_corpus(spark, path, "csv")
-    return saved.select(F.col("row_id").cast("bigint"), "text", "label_name", iso("timestamp").alias("day"), "label")
+    return saved.select("row_id", "text", "label_name", iso("timestamp").alias("day"), "label")
 
 
 @query(

@@ -25,6 +25,9 @@ def contingency(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def confusion_grid(cells: DataFrame) -> DataFrame:
     """(truth, pred, n) over the union of both code sets, zeros included."""
     codes = cells.select(F.explode(F.array("truth", "pred")).alias("code")).distinct()
+    n_codes = codes.count()
+    if n_codes * n_codes > MAX_GRID:
+        raise ValueError(f"{n_codes} codes are too many for a full grid")
     every = codes.agg(F.sort_array(F.collect_list("code"))).scalar()
     grid = codes.select(F.col("code").alias("truth"), F.explode(every).alias("pred"))
     return grid.join(cells, ["truth", "pred"], "left").select(
@@ -81,8 +84,12 @@ def f1_report(cells: DataFrame) -> DataFrame:
     hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     side = F.explode(
         F.array(
-            F.struct(F.col("truth").alias("label"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).alias("said")),
-            F.struct(F.col("pred").alias("label"), F.lit(0).alias("tp"), F.lit(0).alias("support"), F.col("n").alias("said")),
+            F.struct(
+                F.col("truth").alias("label"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).alias("said")
+            ),
+            F.struct(
+                F.col("pred").alias("label"), F.lit(0).alias("tp"), F.lit(0).alias("support"), F.col("n").alias("said")
+            ),
         )
     )
     sums = (

@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chronotext/{name}-{uuid.uuid4().hex}"
+    """A new path under this application's own folder, which can be deleted once the application has ended."""
+    return f"{shared_dir(spark)}/chronotext/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

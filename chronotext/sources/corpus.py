@@ -20,7 +20,7 @@ from chronotext.session import stage
 ORIGIN = "2020-01-01"
 NO_LABEL = "unlabeled"
 UNMAPPED = -1
-SAVED_COLUMNS = "text string, label_name string, timestamp timestamp, label int"
+SAVED_COLUMNS = "row_id bigint, text string, label_name string, timestamp timestamp, label int"
 
 FEW_LABELS = 10_000
 
@@ -60,7 +60,8 @@ def label_codes(named: DataFrame, label_col: str = "label_name") -> DataFrame:
     names = named.select(F.col(label_col).alias("label_name")).where("label_name IS NOT NULL").distinct()
     few = sorted(r[0] for r in names.limit(FEW_LABELS + 1).collect())
     if len(few) <= FEW_LABELS:
-        return named.sparkSession.createDataFrame(list(zip(few, range(len(few)))), "label_name string, label int")
+        codes = named.sparkSession.createDataFrame(list(zip(few, range(len(few)))), "label_name string, label int")
+        return F.broadcast(codes)  # at most FEW_LABELS rows
     many = positions(names, ["label_name"], "label")
     return stage(many.select("label_name", F.col("label").cast("int").alias("label")), "label-codes")
 
