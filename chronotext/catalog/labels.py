@@ -11,11 +11,11 @@ from chronotext.operators.labelling import (
     KeywordLabeler,
     class_examples,
     class_names,
+    cluster_count,
     distinct_names,
     label,
     labelling_scores,
     parse_answers,
-    resolved_k,
     unexpected_labels,
     with_prompt,
 )
@@ -95,8 +95,7 @@ def names_of_classes(spark, sf_dir):
     "SELECT CASE WHEN count(DISTINCT lang) > 1 THEN count(DISTINCT lang) + 1 ELSE 4 END::INT AS k FROM documents",
 )
 def resolved_cluster_count(spark, sf_dir):
-    corpus = language_corpus(spark, sf_dir)
-    return corpus.limit(1).select(F.lit(resolved_k(corpus, 4)).alias("k"))
+    return cluster_count(language_corpus(spark, sf_dir), 4)
 
 
 def keyword_hits_sql() -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronotext.catalog import query, table
 from chronotext.catalog.corpora import SQL_ORDERS, document_corpus, iso, order_split
-from chronotext.catalog.labels import KEYWORDS, language_corpus
+from chronotext.catalog.labels import KEYWORDS, SQL_LABELLED, language_corpus
 from chronotext.catalog.models import vector_corpus, vectors
 from chronotext.catalog.representations import hashed_word_vectors
 from chronotext.catalog.scoring import SQL_CLUSTERED, clustered
@@ -247,6 +247,17 @@ def word_run_future(spark, sf_dir):
     return run.future()
 
 
-@query("labelling_run_metrics")
+@query(
+    "labelling_run_metrics",
+    f"""WITH {SQL_LABELLED}, classes AS (SELECT lang AS c FROM labelled UNION SELECT said FROM labelled),
+sums AS (SELECT c, count(*) FILTER (lang = c AND said = c) AS tp, count(*) FILTER (lang = c) AS support,
+                count(*) FILTER (said = c) AS said FROM classes, labelled GROUP BY c)
+SELECT 'llm-zero' AS Method, 'documents' AS Data, NULL::DOUBLE AS LR_F1_weighted,
+       round(sum(tp) / sum(support), 6) AS LLM_Accuracy,
+       round(sum(support * 2 * tp / (support + said)) / sum(support), 6) AS LLM_F1_weighted, 'keywords' AS LLM_model_name
+FROM sums""",
+)
 def labelling_run_metrics(spark, sf_dir):
-    return run_labelling(language_corpus(spark, sf_dir), KeywordLabeler(KEYWORDS), data="documents")[1]
+    row = run_labelling(language_corpus(spark, sf_dir), KeywordLabeler(KEYWORDS), data="documents")[1]
+    rounded = [F.round(c, 6).alias(c) for c in ("LLM_Accuracy", "LLM_F1_weighted")]
+    return row.select("Method", "Data", "LR_F1_weighted", *rounded, "LLM_model_name")
