@@ -12,7 +12,7 @@ from chronotext.operators.ranking import positions, quota_cut, within_cut
 SHORTEST, LONGEST = 6, 32
 LINE_PREFIXES = ("posts", "class=")
 POST_PREFIXES = ("class=", "label=")
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 WINDOW_LIMIT = 1000
 
