@@ -23,6 +23,7 @@ UNMAPPED = -1
 SAVED_COLUMNS = "row_id bigint, text string, label_name string, timestamp timestamp, label int"
 
 FEW_LABELS = 10_000
+LAST_DAY = 100_000_000
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | T.StructType | None = None) -> DataFrame:
@@ -52,7 +53,9 @@ def parsed_time(value: Column, kind: T.DataType) -> Column:
 
 
 def day_after_origin(row_id: Column, origin: str = ORIGIN) -> Column:
-    return F.timestamp_add("DAY", row_id.cast("int"), F.lit(origin).cast("timestamp"))
+    """The origin plus `row_id` days, up to the last day a timestamp can hold with room to spare."""
+    day = F.least(row_id, F.lit(LAST_DAY)).cast("int")
+    return F.timestamp_add("DAY", day, F.lit(origin).cast("timestamp"))
 
 
 def label_codes(named: DataFrame, label_col: str = "label_name") -> DataFrame:
