@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from chronotext.llm.sampling import bounded_sample, remainder
 from chronotext.session import stage
 
 #: Rows of each label that the model is learned on, and the longest text among them.
-PER_LABEL, LEARN_BYTES = 3000, 1 << 20
+PER_LABEL, LEARN_BYTES = 2000, 1 << 20
 #: Feature columns (by hash), documents that must hold a feature, steps of the optimiser, penalty on squared weights.
 COLUMNS, MIN_DOCUMENTS, STEPS, PENALTY = 1 << 20, 4, 100, 0.1
 #: Fits, and the least weight that keeps a column for the next.
@@ -48,7 +49,7 @@ def sentences(text: str) -> list[str]:
 
 def learn(texts: list[str], toxic: list[int], weights: list[float]) -> tuple[float, np.ndarray]:
     """(bias, weight by column) that maximise the weighted likelihood of the documents' labels; Adam on all rows."""
-    columns, sentence_of, document_of = [], [], []
+    columns, sentence_of, document_of = array("i"), array("i"), array("i")
     known: dict[str, list[int]] = {}
     for document, text in enumerate(texts):
         for sentence in sentences(text):
@@ -56,12 +57,12 @@ def learn(texts: list[str], toxic: list[int], weights: list[float]) -> tuple[flo
                 found = known.get(word)
                 if found is None:
                     found = known[word] = features(word)
-                columns += found
-                sentence_of += [len(document_of)] * len(found)
+                columns.extend(found)
+                sentence_of.extend([len(document_of)] * len(found))
             document_of.append(document)
-    if not document_of:
+    if not len(columns):
         return -math.inf, np.zeros(COLUMNS)
-    col, sent, doc = (np.array(x, np.int32) for x in (columns, sentence_of, document_of))
+    col, sent, doc = (np.frombuffer(x, np.int32) for x in (columns, sentence_of, document_of))
     seen = np.unique(doc[sent].astype(np.int64) * COLUMNS + col) % COLUMNS
     usable = np.bincount(seen, minlength=COLUMNS) >= MIN_DOCUMENTS
     col, sent = col[usable[col]], sent[usable[col]]
