@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from chronotext.llm import langid, mixing, simhash, toxicity, warc  # noqa: F401
+from chronotext.llm import langid, mixing, simhash, suffixes, toxicity, warc  # noqa: F401
 from chronotext.llm.registry import QUERIES, SQL  # noqa: F401
