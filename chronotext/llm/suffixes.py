@@ -5,7 +5,7 @@ strings without moving every suffix, each window of `WIDTH` bytes is owned by it
 shorter string (`GRAM` bytes) in it. Equal windows have equal anchors at equal offsets, so windows need to be compared
 only with windows of the same anchor hash:
 
-1. texts are dealt into blocks of a few MB; each block lists its anchor hashes, dealt over buckets by hash;
+1. texts are dealt into blocks of about a MB; each block lists its anchor hashes, dealt over buckets by hash;
 2. a bucket tells each block which of its hashes occur elsewhere too (one bit each);
 3. blocks send the windows of those anchors, once per distinct run of windows, to the buckets;
 4. a bucket sorts the suffixes that start at these windows, deep-shallow: multikey quicksort on eight-byte words down to a
@@ -31,9 +31,11 @@ from chronotext.session import stage
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text meant for a block; window starts hashed at a time.
-BLOCK_BYTES, PIECE = 4 << 20, 1 << 19
+BLOCK_BYTES, PIECE = 1 << 20, 1 << 18
 #: Bytes compared by multikey quicksort, eight at a time; the rest is left to blind tries.
 SHALLOW = 24
+#: Suffixes compared with their leaders at a time.
+COMPARED = 1 << 15
 NO_ID = (1 << 63) - 1
 
 
@@ -64,6 +66,12 @@ def owners(hashes: np.ndarray, span: int) -> np.ndarray:
     return index
 
 
+def scattered(hashes: np.ndarray) -> np.ndarray:
+    """Least hashes are small: a one-to-one mixing spreads them evenly over the buckets."""
+    h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Block:
     """The texts of a block laid end to end, in order of (id, digest): `ids`, `starts`, `ends`, `data`."""
 
@@ -89,7 +97,7 @@ class Block:
             mine = owner[at]
             new = np.r_[True, (mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1)]
             first = np.flatnonzero(new)
-            yield hashes[mine[first]], at[first] + low, np.diff(np.r_[first, len(at)])
+            yield scattered(hashes[mine[first]]), at[first] + low, np.diff(np.r_[first, len(at)])
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,7 +123,8 @@ def suffix_groups(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     raw = np.frombuffer(data + bytes(8), np.uint8)
     word = np.zeros(len(data), np.uint64)
     for i in range(8):
-        word |= raw[i : i + len(data)].astype(np.uint64) << np.uint64(56 - 8 * i)
+        word <<= np.uint64(8)
+        word |= raw[i : i + len(data)]
     order = np.argsort(word[starts], kind="stable")
     key = word[starts[order]]
     new = np.r_[True, key[1:] != key[:-1]] if len(order) else np.zeros(0, bool)
@@ -143,8 +152,8 @@ def blind_tries(raw: np.ndarray, starts: np.ndarray, order: np.ndarray, new: np.
         group = np.cumsum(new[part])
         leader = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[group - group[0]]
         keys = np.empty(len(part), np.int64)
-        for low in range(0, len(part), 1 << 17):
-            some = slice(low, low + (1 << 17))
+        for low in range(0, len(part), COMPARED):
+            some = slice(low, low + COMPARED)
             here = starts[order[part[some]]][:, None] + np.arange(SHALLOW, WIDTH)
             lead = starts[order[part[leader[some]]]][:, None] + np.arange(SHALLOW, WIDTH)
             mine, theirs = raw[here], raw[lead]
@@ -321,13 +330,13 @@ def cut(docs: DataFrame, carry: bool = False) -> DataFrame:
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in column["counts"]]).astype(np.int64)
         data = b"".join(x.as_buffer().to_pybytes() for x in sent["data"])
         begin = np.r_[0, np.cumsum(counts + WIDTH - 1)[:-1]]
-        run = np.repeat(np.arange(len(counts)), counts)
-        offset = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        run = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        offset = (np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int8)
         order, first_ = suffix_groups(data, begin[run] + offset)
         own = ids[run[order]]
         least = np.repeat(np.minimum.reduceat(own, first_), np.diff(np.r_[first_, len(own)]))
         earlier = order[least < own]
-        masks = np.bincount(run[earlier], (1 << offset[earlier]).astype(float), len(counts)).astype(np.int64)
+        masks = np.bincount(run[earlier], np.exp2(offset[earlier].astype(float)), len(counts)).astype(np.int64)
         rows, at = [], 0
         for number, starts in zip(sent["block"].to_pylist(), column["starts"], strict=True):
             place = np.frombuffer(starts, np.int64)
