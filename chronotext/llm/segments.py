@@ -32,7 +32,7 @@ from chronotext.llm.registry import query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of texts segmented at a time; lattice states a task remembers.
-CHUNK, REMEMBER = 50_000, 1_000_000
+CHUNK, REMEMBER = 50_000, 600_000
 END = -1
 
 
@@ -142,7 +142,7 @@ class Lattices:
         weight = np.r_[voc.weight[np.concatenate(piece)], voc.byte_weight * np.array([len(r) for r in raw])]
         singles = np.concatenate(piece)
         left = end[source] - source
-        order = np.lexsort((length, source, left))  # states nearest to their word's end come first
+        order = np.argsort(left * total + source, kind="stable")  # states nearest to their word's end come first
         beta = np.zeros(total + 1)
         target = np.where(source + length == end[source], total, source + length)
         bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
@@ -156,7 +156,7 @@ class Lattices:
             spread = np.exp(value - np.repeat(top, np.diff(np.r_[cut, len(value)])))
             beta[state[cut]] = top + np.log(np.add.reduceat(spread, cut))
         chance = np.minimum(score - beta[source], 0.0)
-        order = np.lexsort((length, -chance, source))
+        order = np.argsort(source - np.exp(chance) * 0.999, kind="stable")  # by state, then by falling chance
         state, chance = source[order], chance[order]
         first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
         running = np.cumsum(np.exp(chance))
@@ -185,20 +185,32 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, sample: int, word: np.ndarray, step) -> np.ndarray:
-    """Numbers in (0, 1), a function of the arguments alone."""
-    x = scramble(key + np.uint64(sample * 0x9E3779B97F4A7C15 % (1 << 64)))
-    x = scramble(x + word.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    x = scramble(x + np.asarray(step).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+def stream(key: np.ndarray, sample: int) -> np.ndarray:
+    """One stream of random numbers for each row key and sample."""
+    return scramble(key + np.uint64(sample * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+def substream(streams: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One stream for each of the numbered things of a stream."""
+    return scramble(streams + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def uniform(streams: np.ndarray, step: int = 0) -> np.ndarray:
+    """A number in (0, 1) for each stream, another one at each step."""
+    x = scramble(streams + np.uint64(step * 0x8CB92BA72F3D8DD7 % (1 << 64)))
     return ((x >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
 
 
-def walk(lattices: Lattices, state: np.ndarray, key: np.ndarray, word: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+def one_uniform(key: int, sample: int, number: int) -> float:
+    return float(uniform(substream(stream(np.array([key], np.uint64), sample), np.array([number])))[0])
+
+
+def walk(lattices: Lattices, state: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Draw edges from each state to the end of its word: (edges, index of the walk each belongs to), in order of walks."""
     cumulative, following, first = lattices.cumulative, lattices.following, lattices.first
     edges, owner, active, step = [], [], np.arange(len(state)), 0
     while len(active):
-        draw = uniform(key[active], sample, word[active], step)
+        draw = uniform(streams, step)
         edge = first[state]
         open_ = np.flatnonzero(cumulative[edge] <= draw)
         while len(open_):
@@ -208,7 +220,7 @@ def walk(lattices: Lattices, state: np.ndarray, key: np.ndarray, word: np.ndarra
         owner.append(active)
         state = following[edge]
         on = state != END
-        active, state, step = active[on], state[on], step + 1
+        active, state, streams, step = active[on], state[on], streams[on], step + 1
     if not edges:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     edge, of = np.concatenate(edges), np.concatenate(owner)
@@ -221,11 +233,13 @@ class Path:
 
     def __init__(self, edges: np.ndarray, word: np.ndarray, chance: np.ndarray, value: float, key: int, sample: int, split: int):
         self.edges, self.word, self.value = edges, word, value
-        self.before = np.r_[0.0, np.cumsum(chance)[:-1]] if len(chance) else np.zeros(0)
+        self.before = np.zeros(len(chance))
+        np.cumsum(chance[:-1], out=self.before[1:])
         self.log_chance = float(chance.sum())
         rest = np.log(-np.expm1(np.minimum(chance, 0.0)), out=np.full(len(chance), -np.inf), where=chance < -1e-12)
         location = self.before + rest
-        noise = -np.log(uniform(np.full(len(edges), key, np.uint64), sample + 1000, np.arange(len(edges)), 0))
+        own = stream(np.array([key], np.uint64), sample + 1000)
+        noise = -np.log(uniform(substream(own, np.arange(len(edges)))))
         with np.errstate(over="ignore", divide="ignore"):
             self.sets = -np.log(np.exp(-value) + noise * np.exp(-location))
         self.sets[: split + 1] = -np.inf  # those before the split belong to the path it left
@@ -263,16 +277,16 @@ def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: in
                 state = int(np.searchsorted(first, np.int32(edge), side="right")) - 1
                 out = np.arange(first[state], first[state + 1])
                 used = path.used.setdefault(at, [edge])
-                open_ = out[~np.isin(out, used)]
+                open_ = np.array([e for e in out.tolist() if e not in used], np.int64)
                 weight = np.cumsum(np.exp(chances[open_]))
-                draw = uniform(np.array([keys[i]], np.uint64), sample + 2000, np.array([at]), 0)[0]
+                draw = one_uniform(keys[i], sample + 2000, at)
                 chosen = int(open_[min(np.searchsorted(weight, draw * weight[-1], side="right"), len(open_) - 1)])
                 used.append(chosen)
-                left = out[~np.isin(out, used)]
+                left = np.array([e for e in out.tolist() if e not in used], np.int64)
                 path.sets[at] = -math.inf
                 if len(left):
                     location = path.before[at] + math.log(np.exp(chances[left]).sum())
-                    draw = uniform(np.array([keys[i]], np.uint64), sample + 3000, np.array([at]), 0)[0]
+                    draw = one_uniform(keys[i], sample + 3000, at)
                     path.sets[at] = -np.logaddexp(-value, math.log(-math.log(draw)) - location)
                 word = int(path.word[at])
                 more, numbers = starts[i][word + 1 :], np.arange(word + 1, len(starts[i]))
@@ -285,15 +299,15 @@ def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: in
             continue
         counts = np.array([len(t[1]) for t in todo])
         state = np.concatenate([t[1] for t in todo]).astype(np.int64)
-        key = np.repeat(np.array([keys[t[0]] for t in todo], np.uint64), counts)
+        own_streams = stream(np.array([keys[t[0]] for t in todo], np.uint64), sample)
         number = np.concatenate([t[2] for t in todo])
-        edges, of = walk(lattices, state, key, number, sample)
+        edges, of = walk(lattices, state, substream(np.repeat(own_streams, counts), number))
         bounds = np.searchsorted(of, np.r_[0, np.cumsum(counts)])
         for (i, _, _, turn), low, high in zip(todo, bounds[:-1], bounds[1:], strict=True):
             mine, words = edges[low:high], number[of[low:high]]
             if turn is None:
                 split = -1
-                draw = uniform(np.array([keys[i]], np.uint64), 4000, np.array([0]), 0)[0]
+                draw = one_uniform(keys[i], 4000, 0)
                 value = -math.log(-math.log(draw))
             else:
                 path, split, chosen, word, value = turn
