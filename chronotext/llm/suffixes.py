@@ -386,6 +386,7 @@ def cut(docs: DataFrame, carry: bool = False) -> DataFrame:
         if pa.types.is_struct(others.type):  # a literal column says it has no nulls; the declared type allows them
             others = others.cast(pa.struct([pa.field(f.name, f.type, nullable=True) for f in others.type]))
         arrays = [ids, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)), others]
+        pa.default_memory_pool().release_unused()  # the worker lives on through later stages
         return pa.Table.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     dealt_texts = texts.groupBy("block")

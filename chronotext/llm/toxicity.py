@@ -32,7 +32,7 @@ COLUMNS, MIN_DOCUMENTS, STEPS, PENALTY = 1 << 20, 4, 100, 0.1
 ROUNDS, KEEP = 3, 1.5
 STEMS = (4, 5)
 #: Words a task remembers the scores of.
-REMEMBER = 500_000
+REMEMBER = 100_000
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -176,7 +176,8 @@ def clean(docs: DataFrame, model: tuple[float, np.ndarray], limit: float = 0.5)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(bias, used, values)
         for batch in batches:
-            yield batch.filter(pa.array([score(text)[0] < limit for text in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(text.as_py())[0] < limit for text in batch.column(at)], pa.bool_()))
+            pa.default_memory_pool().release_unused()  # the worker lives on through later stages
 
     return docs.mapInArrow(each, docs.schema)
 
