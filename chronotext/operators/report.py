@@ -32,7 +32,8 @@ def score_comparison(metrics: DataFrame, sort: str | None = "desc") -> DataFrame
     long = scores_long(metrics)
     method = F.coalesce("Method", F.lit(""))
     base = F.upper(F.replace(method, F.lit(CLASSIFIER_SUFFIX), F.lit("")))
-    percent = F.bround(F.col("TrainFrac") * 100).cast("int").cast("string")
+    fraction = F.when(~F.isnan("TrainFrac"), F.col("TrainFrac"))
+    percent = F.bround(fraction * 100).cast("int").cast("string")
     trained = F.coalesce(F.concat(F.lit("train="), percent, F.lit("%")), F.lit(""))
     dash = F.instr(method, "-")
     style = F.when(dash > 0, F.substring(method, dash + 1, F.length(method))).otherwise(method)

@@ -37,13 +37,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | T
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A saved corpus. Refused when the time or label column is missing."""
+    """A saved corpus. Refused when the time or label column is missing; a value that is not of its type becomes null."""
     raw = read_table(spark, path, fmt)
     missing = [c for c in ("timestamp", "label_name") if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
     types = {f.name: f.dataType for f in T.StructType.fromDDL(SAVED_COLUMNS).fields}
-    return raw.select(*[F.col(c).cast(types.get(c, raw.schema[c].dataType)).alias(c) for c in raw.columns])
+    return raw.select(*[F.col(c).try_cast(types.get(c, raw.schema[c].dataType)).alias(c) for c in raw.columns])
 
 
 def parsed_time(value: Column, kind: T.DataType) -> Column:

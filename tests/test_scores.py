@@ -95,3 +95,11 @@ def test_best_mapping_leaves_extra_clusters_out(spark):
     pairs = [("a", "1")] * 5 + [("b", "2")] * 4 + [("a", "3")] * 6 + [("b", "3")] * 2
     got = {(r.pred, r.truth, r.n) for r in best_mapping(_cells(spark, pairs)).collect()}
     assert got == {("3", "a", 6), ("2", "b", 4)}
+
+
+def test_comparison_shows_no_fraction_for_nan(spark):
+    from chronotext.operators.report import score_comparison
+
+    rows = [("tfidf-lr", float("nan"), 0.5, None)]
+    kinds = "Method string, TrainFrac double, LR_F1_weighted double, LLM_F1_weighted double"
+    assert score_comparison(spark.createDataFrame(rows, kinds)).first()["label"] == "TFIDF LR"
