@@ -141,20 +141,19 @@ def scores_of_labelling(spark, sf_dir):
 
 
 SQL_RESPONSES = """
-said AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, text FROM conversations WHERE role = 'assistant'),
+said AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, text FROM conversations),
 answers AS (
   SELECT row_id, text, conv_id % 5 AS kind, CASE conv_id % 5
     WHEN 0 THEN '{"label": " a ", "thought": ' || to_json(text)::VARCHAR || '}'
-    WHEN 1 THEN '[{"label": "a"}]' WHEN 2 THEN '```json {"label": "a"} ```' WHEN 3 THEN text ELSE '' END AS content
+    WHEN 1 THEN '[' || to_json(text)::VARCHAR || ']' WHEN 2 THEN '```json ' || text || ' ```' WHEN 3 THEN text
+    ELSE repeat(' ', length(text) % 7) END AS content
   FROM said)
 """
 
 
-def assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "conversations")
-        .where("role = 'assistant'")
-        .select((F.col("conv_id") * F.lit(1000) + F.col("turn")).alias("row_id"), "conv_id", "text")
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * F.lit(1000) + F.col("turn")).alias("row_id"), "conv_id", "text"
     )
 
 
@@ -177,12 +176,12 @@ def parsed_answers(spark, sf_dir):
     kind = F.col("conv_id") % 5
     content = (
         F.when(kind == 0, F.concat(F.lit('{"label": " a ", "thought": '), quoted_json("text"), F.lit("}")))
-        .when(kind == 1, '[{"label": "a"}]')
-        .when(kind == 2, '```json {"label": "a"} ```')
+        .when(kind == 1, F.concat(F.lit("["), quoted_json("text"), F.lit("]")))
+        .when(kind == 2, F.concat(F.lit("```json "), F.col("text"), F.lit(" ```")))
         .when(kind == 3, F.col("text"))
-        .otherwise("")
+        .otherwise(F.repeat(F.lit(" "), F.length("text") % 7))
     )
-    answered = assistant_turns(spark, sf_dir).select("row_id", content.alias("content"))
+    answered = all_turns(spark, sf_dir).select("row_id", content.alias("content"))
     return parse_answers(answered).select("row_id", "llm_label", "llm_thought")
 
 
@@ -200,7 +199,7 @@ def unexpected_cached_labels(spark, sf_dir):
 
 
 POST_RESPONSE_SQL = """
-said AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, text, role FROM conversations WHERE role = 'assistant'),
+said AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, text FROM conversations),
 sentences AS (
   SELECT row_id, conv_id, trim(unnest(string_split(replace(text, chr(10), ' '), '.'))) AS s,
          generate_subscripts(string_split(replace(text, chr(10), ' '), '.'), 1) - 1 AS place FROM said),
@@ -220,8 +219,8 @@ clean AS (SELECT row_id, conv_id, place, post FROM cleaned
 
 
 def post_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as bulk responses: sentences in a `posts` object, in a list, or one per line."""
-    turns = assistant_turns(spark, sf_dir).withColumn(
+    """Every turn as a bulk response: sentences in a `posts` object, in a list, or one per line."""
+    turns = all_turns(spark, sf_dir).withColumn(
         "sentences", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\.")
     )
     objects = F.transform("sentences", lambda s: F.struct(s.alias("text")))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from chronotext.session import held, stage
 
 FANOUT_BITS = 12
-MAX_PARTS = 500_000
 POSITION_MASK = (1 << 33) - 1
 
 
@@ -117,8 +116,6 @@ def _dense(marked: DataFrame, name: str) -> DataFrame:
         offsets.append((index, before))
         before += n
     table = marked.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint")
-    if len(offsets) <= MAX_PARTS:
-        table = F.broadcast(table)
     return (
         marked.withColumn("_part", part)
         .join(table, "_part")

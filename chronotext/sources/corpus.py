@@ -5,7 +5,7 @@ A corpus has columns `row_id long, text string, label_name string, timestamp tim
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +22,15 @@ NO_LABEL = "unlabeled"
 UNMAPPED = -1
 SAVED_COLUMNS = "row_id bigint, text string, label_name string, timestamp timestamp, label int"
 
-FEW_LABELS = 10_000
-LAST_DAY = 100_000_000
+# Spellings of a time besides the ISO form: (shape, format), the first shape that fits is read; month before day.
+TIME_FORMATS = (
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | T.StructType | None = None) -> DataFrame:
@@ -46,27 +53,25 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return raw.select(*[F.col(c).try_cast(types.get(c, raw.schema[c].dataType)).alias(c) for c in raw.columns])
 
 
-def parsed_time(value: Column, kind: T.DataType) -> Column:
+def parsed_time(value: Column, kind: T.DataType, formats: Sequence[tuple[str, str]] = TIME_FORMATS) -> Column:
+    """ISO times, then those of `formats`; null for any other text."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return value.cast("timestamp")
-    return F.try_to_timestamp(value.cast("string"))
+    said = strip(value.cast("string"))
+    spelled = [F.when(said.rlike(shape), F.try_to_timestamp(said, F.lit(form))) for shape, form in formats]
+    return F.coalesce(F.try_to_timestamp(said), *spelled)
 
 
 def day_after_origin(row_id: Column, origin: str = ORIGIN) -> Column:
-    """The origin plus `row_id` days, up to the last day a timestamp can hold with room to spare."""
-    day = F.least(row_id, F.lit(LAST_DAY)).cast("int")
-    return F.timestamp_add("DAY", day, F.lit(origin).cast("timestamp"))
+    """The origin plus `row_id` days; an error beyond the last day a timestamp can hold."""
+    return F.timestamp_add("DAY", row_id.cast("int"), F.lit(origin).cast("timestamp"))
 
 
 def label_codes(named: DataFrame, label_col: str = "label_name") -> DataFrame:
     """(label_name, label): codes 0..K-1 by sorted name; null names get no code."""
     names = named.select(F.col(label_col).alias("label_name")).where("label_name IS NOT NULL").distinct()
-    few = sorted(r[0] for r in names.limit(FEW_LABELS + 1).collect())
-    if len(few) <= FEW_LABELS:
-        codes = named.sparkSession.createDataFrame(list(zip(few, range(len(few)))), "label_name string, label int")
-        return F.broadcast(codes)  # at most FEW_LABELS rows
-    many = positions(names, ["label_name"], "label")
-    return stage(many.select("label_name", F.col("label").cast("int").alias("label")), "label-codes")
+    coded = positions(names, ["label_name"], "label")
+    return stage(coded.select("label_name", F.col("label").cast("int").alias("label")), "label-codes")
 
 
 def with_label_codes(named: DataFrame) -> DataFrame:
@@ -94,8 +99,8 @@ def normalise(
 ) -> DataFrame:
     """Bring any table to the corpus schema.
 
-    Rows with null or blank text are dropped and the rest numbered 0..n-1: by the unique column `order_by`, or in
-    file order when none is given. A missing or unreadable time becomes `origin` plus `row_id` days. Without a label
+    Rows with null or blank text are dropped and the rest numbered 0..n-1: by the column `order_by`, nulls last and equal
+    values by digest of the text, label and time, or in file order when none is given. A missing or unreadable time becomes `origin` plus `row_id` days. Without a label
     column every row is `unlabeled` with code 0; a null label is `unlabeled` too.
     """
     if text_col not in df.columns:
@@ -115,14 +120,14 @@ def normalise(
     )
 
     if order_by:
-        # only keys are sorted and written; the texts move once, in the join
-        numbered = kept.join(positions(kept.select("_key"), ["_key"], "row_id"), "_key").drop("_key")
+        # the rows move once, in the sort; the last key spreads repeated rows over tasks
+        keyed = kept.withColumns({"_digest": F.sha2("text", 256), "_row": F.monotonically_increasing_id()})
+        order = [F.col("_key").asc_nulls_last(), "_digest", "label_name", F.col("timestamp").asc_nulls_last(), "_row"]
+        numbered = positions(keyed, order, "row_id").drop("_key", "_digest", "_row")
     else:
         numbered = number_in_order(kept, "row_id")
     if has_label:
-        # the codes need only the labels of the kept rows, not their numbers
-        codes = label_codes(kept)
-        coded = numbered.join(codes, "label_name", "left")
+        coded = numbered.join(label_codes(numbered), "label_name", "left")
     else:
         coded = numbered.withColumn("label", F.lit(0))
     return coded.select(

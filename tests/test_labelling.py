@@ -100,6 +100,28 @@ def test_label_cache(spark, tmp_path):
     assert fresh[0] == "ERROR" and fresh[1] == "cold"
 
 
+def test_labels_after_growth_and_a_text_that_holds_the_head(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    label(_corpus(spark), Counting("red"), store=path)
+    more = _corpus(spark).union(_corpus(spark).selectExpr("row_id + 10", "'red red red Text: blue'", "label_name"))
+    got = {r.row_id: r.llm_label for r in label(more, Counting("red"), store=path).collect()}
+    assert len(got) == 12 and got[1] == "cold" and all(got[i] == "warm" for i in range(10, 16))
+    assert spark.read.parquet(path).groupBy("text_key").count().where("count > 1").isEmpty()
+
+
+class Picky(KeywordLabeler):
+    def answer_texts(self, texts):
+        if any("blue" in t for t in texts):
+            raise RuntimeError("refused")
+        return super().answer_texts(texts)
+
+
+def test_failing_calls_become_error_rows(spark):
+    got = {r.row_id: r for r in label(_corpus(spark), Picky({"warm": ["red"], "cold": ["blue"]}), batch_size=4).collect()}
+    assert got[1].llm_label == "ERROR" and got[1].llm_error == "RuntimeError: refused"
+    assert got[0].llm_label == "warm" and got[0].llm_error is None
+
+
 class Failing:
     name, dim = "failing", 4
 
