@@ -66,6 +66,8 @@ class Vocabulary:
                         found.setdefault(int(value[0]), -1)
                     found[int(value[0])] = i
         self.longest = max(len(d) for d in self.data)
+        self.letters, self.length = np.frombuffer(b"".join(self.data), np.uint8), np.array([len(d) for d in self.data])
+        self.offset = np.cumsum(self.length) - self.length
         self.hashes = np.array(sorted(found), np.uint64)
         self.piece = np.array([found[h] for h in sorted(found)], np.int32)
         self.slot = np.searchsorted(self.hashes, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47)).astype(np.int32)
@@ -84,7 +86,10 @@ class Vocabulary:
 
     def decode(self, ids) -> bytes:
         """Bytes of a segmentation, without the space mark that encoding puts in front."""
-        return b"".join(map(self.data.__getitem__, ids))[1:]
+        ids = np.asarray(ids, np.int64)
+        size = self.length[ids]
+        before = np.cumsum(size) - size
+        return self.letters[np.repeat(self.offset[ids] - before, size) + np.arange(size.sum())][1:].tobytes()
 
 
 def longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -156,10 +161,11 @@ class Lattices:
             spread = np.exp(value - np.repeat(top, np.diff(np.r_[cut, len(value)])))
             beta[state[cut]] = top + np.log(np.add.reduceat(spread, cut))
         chance = np.minimum(score - beta[source], 0.0)
-        order = np.argsort(source - np.exp(chance) * 0.999, kind="stable")  # by state, then by falling chance
+        share = np.exp(chance)
+        order = np.argsort(source - share * 0.999, kind="stable")  # by state, then by falling chance
         state, chance = source[order], chance[order]
         first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
-        running = np.cumsum(np.exp(chance))
+        running = np.cumsum(share[order])
         before = np.r_[0.0, running[first[1:] - 1]]
         cumulative = running - np.repeat(before, np.diff(np.r_[first, len(state)]))
         cumulative[np.r_[first[1:], len(state)] - 1] = 1.0
@@ -236,14 +242,14 @@ class Path:
         self.before = np.zeros(len(chance))
         np.cumsum(chance[:-1], out=self.before[1:])
         self.log_chance = float(chance.sum())
-        rest = np.log(-np.expm1(np.minimum(chance, 0.0)), out=np.full(len(chance), -np.inf), where=chance < -1e-12)
-        location = self.before + rest
+        self.sets = np.full(len(edges), -np.inf)
+        # edges up to the split belong to the path it left, certain ones have no other way
+        at = np.flatnonzero(chance[split + 1 :] < -1e-12) + split + 1
+        location = self.before[at] + np.log(-np.expm1(chance[at]))
         own = stream(np.array([key], np.uint64), sample + 1000)
-        noise = -np.log(uniform(substream(own, np.arange(len(edges)))))
+        noise = -np.log(uniform(substream(own, at)))
         with np.errstate(over="ignore", divide="ignore"):
-            self.sets = -np.log(np.exp(-value) + noise * np.exp(-location))
-        self.sets[: split + 1] = -np.inf  # those before the split belong to the path it left
-        self.sets[rest == -np.inf] = -np.inf
+            self.sets[at] = -np.log(np.exp(-value) + noise * np.exp(-location))
         self.used: dict[int, list[int]] = {}
 
 
@@ -349,7 +355,7 @@ def encoded(docs: DataFrame, k: int, seed: int = 42, key: str = "doc_id", path:
                 pieces = flat[at]
                 lists.append(pieces)
                 offsets.append(offsets[-1] + len(pieces))
-                text = hashlib.sha256(vocabulary.decode(pieces.tolist())).hexdigest() if digest else None
+                text = hashlib.sha256(vocabulary.decode(pieces)).hexdigest() if digest else None
                 for column, cell in zip(out, (doc, number, None, chance, value, inclusion, text), strict=True):
                     column.append(cell)
         arrays = [pa.array(c, t) if n != "ids" else None for c, t, n in zip(out, kinds, names, strict=True)]
