@@ -21,6 +21,20 @@ def test_normalise_edge_rows(spark):
     ]
 
 
+def test_normalise_keeps_rows_with_null_and_repeated_keys(spark):
+    raw = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (2, "d"), (None, "e")], "id int, text string")
+    got = normalise(raw, order_by="id").orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(6)) and got[0].text == "a"
+    assert sorted(r.text for r in got[1:4]) == ["c", "d", "d"] and sorted(r.text for r in got[4:]) == ["b", "e"]
+
+
+def test_time_spellings(spark):
+    said = ["2024-05-13", "2024/05/13", "05/13/2024", "May 13, 2024", "13 May 2024", "January 2, 2024", "3 Feb 2024", "13/13/2024", "x"]
+    raw = spark.createDataFrame([(i, "t", x) for i, x in enumerate(said)], "id int, text string, at string")
+    got = [str(r.timestamp)[:10] for r in normalise(raw, timestamp_col="at", order_by="id").orderBy("row_id").collect()]
+    assert got == ["2024-05-13"] * 5 + ["2024-01-02", "2024-02-03", "2020-01-08", "2020-01-09"]
+
+
 def test_normalise_without_labels_in_file_order(spark):
     raw = spark.createDataFrame([("b",), ("",), ("a",)], "text string").coalesce(1)
     got = normalise(raw).orderBy("row_id").collect()

@@ -92,6 +92,12 @@ def test_stratified_split_quotas(spark):
         stratified_split(df.where("row_id < 98"), "label", 0.3)
 
 
+def test_stratified_split_nulls(spark):
+    df = spark.createDataFrame([(i, "a" if i < 10 else None) for i in range(20)], "row_id bigint, label string")
+    test = stratified_split(df, "label", 0.3).where("split = 'test'").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in test} == {"a": 3, None: 3}
+
+
 def test_cutting_plan_has_no_global_window(spark):
     df = stage(spark.range(1000).withColumn("k", F.col("id") % 10), "plain")
     plan = df.where(cut_below(df, "k", "id", 100))._jdf.queryExecution().toString()
