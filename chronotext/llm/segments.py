@@ -101,9 +101,12 @@ def longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
 class Lattices:
     """Word lattices as one table of states (places in a word) and their outgoing edges (pieces).
 
-    Edges of a state are in order of falling chance. By edge: cumulative chance, next state, log-chance, place of its pieces in `flat`; by state: its first edge.
+    Edges of a state are in order of falling length. By edge: cumulative chance, next state, log-chance, place of its pieces
+    in `flat`; by state: its first edge. The columns grow by doubling.
     """
 
+    KINDS = {"cumulative": float, "chance": float, "following": np.int32, "flat": np.int32, "begin": np.int32, "first": np.int32}
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
@@ -111,77 +114,110 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.states = 0
-        self.cumulative, self.chance = np.zeros(0), np.zeros(0)
-        self.following, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.begin, self.first = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.room = {name: np.zeros(1, kind) for name, kind in self.KINDS.items()}
+        for name, column in self.room.items():
+            setattr(self, name, column[: name in ("begin", "first")])
+
+    def extend(self, name: str, more: np.ndarray) -> None:
+        held = len(getattr(self, name))
+        column = self.room[name]
+        if held + len(more) > len(column):
+            column = self.room[name] = np.empty(2 * (held + len(more)), column.dtype)
+            column[:held] = getattr(self, name)
+        column[held : held + len(more)] = more
+        setattr(self, name, column[: held + len(more)])
 
     def add(self, words: list[str]) -> None:
-        """Build the lattices of new marked words, all at once."""
+        """Build the lattices of new marked words, all at once.
+
+        States are numbered by their distance to the end of their word, so those that others lead to are settled first.
+        """
         voc = self.vocabulary
-        sizes = np.array([len(w) for w in words], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         total, ends = int(sizes.sum()), np.cumsum(sizes)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         inner = np.ones(total, bool)
         inner[ends - sizes] = False
         code[inner & (code == ord(MARK))] = 0x110000  # a mark that the text itself holds is no word start
-        end = np.repeat(ends, sizes)
-        at, value = np.arange(total), np.zeros(total, np.uint64)
-        source, length, piece = [], [], []
+        left = np.repeat(ends, sizes) - np.arange(total)
+        left = left.astype(np.uint16 if left.max() < 1 << 16 else np.int64)
+        at, value = np.arange(total, dtype=np.int32), np.zeros(total, np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
         for n in range(1, voc.longest + 1):
-            fits = at + n <= end[at]
-            at, value = at[fits], longer(value[fits], code[at[fits] + n - 1])
+            if n > 1:
+                fits = np.flatnonzero(left[at] >= n)
+                at, value = at[fits], value[fits]
+            value = longer(value, code[at + (n - 1)])
             spot = voc.look_up(value)
-            known = voc.hashes[spot] == value
-            at, value, spot = at[known], value[known], spot[known]
-            whole = voc.piece[spot] >= 0
-            source.append(at[whole])
-            length.append(np.full(int(whole.sum()), n))
-            piece.append(voc.piece[spot[whole]])
+            known = np.flatnonzero(voc.hashes[spot] == value)
+            at, value, piece = at[known], value[known], voc.piece[spot[known]]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at[whole], piece[whole], n))
             if not len(at):
                 break
         single = np.zeros(total, bool)
-        single[source[0]] = True
+        single[found[0][0]] = True
         other = np.flatnonzero(~single)  # letters that are no piece: their bytes
         raw = [tuple(voc.byte[x] for x in (MARK if c == 0x110000 else chr(c)).encode("utf-8", "surrogatepass")) for c in code[other].tolist()]
-        source, length = np.concatenate([*source, other]), np.concatenate([*length, np.ones(len(other), np.int64)])
-        weight = np.r_[voc.weight[np.concatenate(piece)], voc.byte_weight * np.array([len(r) for r in raw])]
-        singles = np.concatenate(piece)
-        left = end[source] - source
-        order = np.argsort(left * total + source, kind="stable")  # states nearest to their word's end come first
-        beta = np.zeros(total + 1)
-        target = np.where(source + length == end[source], total, source + length)
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
-        score = np.empty(len(source))
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            some = order[low:high]
-            value, state = weight[some] + beta[target[some]], source[some]
-            score[some] = value
-            cut = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
+        raw_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        # each edge's place, by state and falling length: longest edges are dealt first, each state keeps its next place
+        by_state = np.argsort(left, kind="stable")
+        rank = np.empty(total + 1, np.int32)
+        rank[by_state] = np.arange(total, dtype=np.int32)
+        rank[total] = total
+        count = np.zeros(total, np.int32)
+        for at, _, _ in found:
+            count[at] += 1
+        count[other] += 1
+        count = count[by_state]
+        first = np.zeros(total + 1, np.int64)
+        np.cumsum(count, out=first[1:])
+        free, size = first[:-1][rank[:total]], int(first[-1])
+        target, weight, piece_of = np.empty(size, np.int32), np.empty(size), np.empty(size, np.int32)
+        extra = np.ones(size, np.int32)
+        for at, piece, n in reversed(found):
+            place = free[at]
+            target[place] = np.where(left[at] == n, total, rank[at + n])
+            weight[place] = voc.weight[piece]
+            piece_of[place] = piece
+            free[at] += 1
+        place = free[other]
+        target[place] = np.where(left[other] == 1, total, rank[other + 1])
+        weight[place] = voc.byte_weight * raw_size
+        extra[place] = raw_size
+        beta, chance, share = np.zeros(total + 1), np.empty(size), np.empty(size)
+        steps = np.r_[0, np.cumsum(np.bincount(left)[1:])]
+        for low, high in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            begin, stop = first[low], first[high]
+            cut, each = first[low:high] - begin, count[low:high]
+            value = weight[begin:stop] + beta[target[begin:stop]]
             top = np.maximum.reduceat(value, cut)
-            spread = np.exp(value - np.repeat(top, np.diff(np.r_[cut, len(value)])))
-            beta[state[cut]] = top + np.log(np.add.reduceat(spread, cut))
-        chance = np.minimum(score - beta[source], 0.0)
-        share = np.exp(chance)
-        order = np.argsort(source - share * 0.999, kind="stable")  # by state, then by falling chance
-        state, chance = source[order], chance[order]
-        first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
-        running = np.cumsum(share[order])
-        before = np.r_[0.0, running[first[1:] - 1]]
-        cumulative = running - np.repeat(before, np.diff(np.r_[first, len(state)]))
-        cumulative[np.r_[first[1:], len(state)] - 1] = 1.0
-        following = np.where(target[order] == total, END, target[order] + self.states)
-        counts = np.r_[np.ones(len(singles), np.int64), np.array([len(r) for r in raw], np.int64)]
-        flat_from = np.cumsum(counts) - counts
-        pieces = np.r_[singles, np.array([x for r in raw for x in r], np.int32)].astype(np.int32)
-        size = counts[order]
-        base = np.cumsum(size) - size
-        flat = pieces[np.repeat(flat_from[order] - base, size) + np.arange(size.sum())]
-        self.first = np.r_[self.first, (np.r_[first[1:], len(state)] + len(self.following)).astype(np.int32)]
-        self.begin = np.r_[self.begin, (base + size + len(self.flat)).astype(np.int32)]
-        self.cumulative = np.r_[self.cumulative, cumulative]
-        self.chance, self.following = np.r_[self.chance, chance], np.r_[self.following, following.astype(np.int32)]
-        self.flat = np.r_[self.flat, flat]
-        self.start.update(zip(words, (ends - sizes + self.states).tolist(), strict=True))
+            value -= np.repeat(top, each)
+            spread = np.exp(value)
+            mass = np.add.reduceat(spread, cut)
+            log_mass = np.log(mass)
+            beta[low:high] = top + log_mass
+            chance[begin:stop] = value - np.repeat(log_mass, each)
+            share[begin:stop] = spread / np.repeat(mass, each)
+        np.minimum(chance, 0.0, out=chance)
+        running = np.cumsum(share)
+        before = np.r_[0.0, running[first[1:-1] - 1]]
+        running -= np.repeat(before, count)
+        running[first[1:] - 1] = 1.0
+        after = np.cumsum(extra, dtype=np.int64)
+        flat = np.empty(int(after[-1]), np.int32)
+        flat[after - extra] = piece_of
+        if len(raw):
+            spot = np.repeat((after - extra)[place] - (np.cumsum(raw_size) - raw_size), raw_size) + np.arange(raw_size.sum())
+            flat[spot] = [x for r in raw for x in r]
+        edges, pieces = len(self.following), len(self.flat)
+        self.extend("following", np.where(target == total, END, target + self.states))
+        self.extend("first", first[1:] + edges)
+        self.extend("begin", after + pieces)
+        self.extend("cumulative", running)
+        self.extend("chance", chance)
+        self.extend("flat", flat)
+        self.start.update(zip(words, (rank[ends - sizes] + self.states).tolist(), strict=True))
         self.states += total
 
 
@@ -255,9 +291,10 @@ class Path:
 
 def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text (its marked words): up to k distinct (edges, log-probability, perturbed value, inclusion score)."""
-    fresh = list({word for words in texts for word in words if word not in lattices.start})
+    known = lattices.start
+    fresh = dict.fromkeys(word for words in texts for word in words if word not in known)
     if fresh:
-        lattices.add(sorted(fresh))
+        lattices.add(list(fresh))
     chances, first, following = lattices.chance, lattices.first, lattices.following
     starts = [np.fromiter(map(lattices.start.__getitem__, words), np.int64, len(words)) for words in texts]
     paths: list[list[Path]] = [[] for _ in texts]
