@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +86,18 @@ class Vocabulary:
             open_ = open_[self.hashes[spot[open_]] < value[open_]]
         return spot
 
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """Bytes of each segmentation between two offsets, without the space mark that encoding puts in front."""
+        size = self.length[ids]
+        until = np.r_[0, np.cumsum(size)]
+        letters = self.letters[np.repeat(self.offset[ids] - until[:-1], size) + np.arange(until[-1])].tobytes()
+        cuts = until[offsets].tolist()
+        return (letters[low + 1 : high] for low, high in zip(cuts[:-1], cuts[1:], strict=True))
+
     def decode(self, ids) -> bytes:
-        """Bytes of a segmentation, without the space mark that encoding puts in front."""
+        """Bytes of one segmentation."""
         ids = np.asarray(ids, np.int64)
-        size = self.length[ids]
-        before = np.cumsum(size) - size
-        return self.letters[np.repeat(self.offset[ids] - before, size) + np.arange(size.sum())][1:].tobytes()
+        return next(self.texts(ids, np.array([0, len(ids)])))
 
 
 def longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -102,21 +110,42 @@ class Lattices:
     """Word lattices as one table of states (places in a word) and their outgoing edges (pieces).
 
     Edges of a state are in order of falling length. By edge: cumulative chance, next state, log-chance, place of its pieces
-    in `flat`; by state: its first edge. The columns grow by doubling.
+    in `flat`; by state: its first edge; by word, numbered in the order of coming: its first state. The columns grow by
+    doubling.
     """
 
-    KINDS = {"cumulative": float, "chance": float, "following": np.int32, "flat": np.int32, "begin": np.int32, "first": np.int32}
+    KINDS = {
+        "cumulative": float, "chance": float, "following": np.int32, "flat": np.int32, "begin": np.int32, "first": np.int32,
+        "entry": np.int32,
+    }
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new word takes the next number
         self.states = 0
         self.room = {name: np.zeros(1, kind) for name, kind in self.KINDS.items()}
         for name, column in self.room.items():
-            setattr(self, name, column[: name in ("begin", "first")])
+            setattr(self, name, column[: int(name in ("begin", "first"))])
+
+    @property
+    def start(self) -> dict[str, int]:
+        """First state of each word."""
+        return dict(zip(self.number, self.entry.tolist(), strict=True))
+
+    def add(self, words: list[str]) -> None:
+        self.starts([words])
+
+    def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """First states of the words of each text; lattices of new words are built."""
+        held = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if len(self.number) > held:
+            self.build(list(islice(self.number, held, None)))
+        return np.split(self.entry[numbers], np.cumsum([len(words) for words in texts])[:-1])
 
     def extend(self, name: str, more: np.ndarray) -> None:
         held = len(getattr(self, name))
@@ -127,7 +156,7 @@ class Lattices:
         column[held : held + len(more)] = more
         setattr(self, name, column[: held + len(more)])
 
-    def add(self, words: list[str]) -> None:
+    def build(self, words: list[str]) -> None:
         """Build the lattices of new marked words, all at once.
 
         States are numbered by their distance to the end of their word, so those that others lead to are settled first.
@@ -217,7 +246,7 @@ class Lattices:
         self.extend("cumulative", running)
         self.extend("chance", chance)
         self.extend("flat", flat)
-        self.start.update(zip(words, (rank[ends - sizes] + self.states).tolist(), strict=True))
+        self.extend("entry", rank[ends - sizes] + self.states)
         self.states += total
 
 
@@ -271,32 +300,42 @@ def walk(lattices: Lattices, state: np.ndarray, streams: np.ndarray) -> tuple[np
 
 
 class Path:
-    """A drawn segmentation: its edges, the word of each, and the sets that leave it at each edge."""
-
-    def __init__(self, edges: np.ndarray, word: np.ndarray, chance: np.ndarray, value: float, key: int, sample: int, split: int):
-        self.edges, self.word, self.value = edges, word, value
-        self.before = np.zeros(len(chance))
-        np.cumsum(chance[:-1], out=self.before[1:])
-        self.log_chance = float(chance.sum())
-        self.sets = np.full(len(edges), -np.inf)
-        # edges up to the split belong to the path it left, certain ones have no other way
-        at = np.flatnonzero(chance[split + 1 :] < -1e-12) + split + 1
-        location = self.before[at] + np.log(-np.expm1(chance[at]))
-        own = stream(np.array([key], np.uint64), sample + 1000)
-        noise = -np.log(uniform(substream(own, at)))
-        with np.errstate(over="ignore", divide="ignore"):
-            self.sets[at] = -np.log(np.exp(-value) + noise * np.exp(-location))
+    """A drawn segmentation: its edges, the word of each, the log-chance before each, and the sets that leave it there."""
+
+    def __init__(self, edges: np.ndarray, word: np.ndarray, before: np.ndarray, sets: np.ndarray, log_chance: float, value: float):
+        self.edges, self.word, self.before, self.sets = edges, word, before, sets
+        self.log_chance, self.value = log_chance, value
         self.used: dict[int, list[int]] = {}
 
 
+def paths_of(drawn: list[tuple[np.ndarray, np.ndarray, float, int]], chances: np.ndarray, keys: np.ndarray, sample: int) -> list[Path]:
+    """Paths of (edges, words, perturbed value, place of the split), one for each key, with the sets that leave them."""
+    sizes = np.array([len(d[0]) for d in drawn], np.int64)
+    ends = np.cumsum(sizes)
+    chance = chances[np.concatenate([d[0] for d in drawn])]
+    before, sets, total = np.zeros(len(chance)), np.full(len(chance), -np.inf), []
+    for low, high in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        own = chance[low:high]
+        np.cumsum(own[:-1], out=before[low + 1 : high])
+        total.append(float(own.sum()))
+    # edges up to the split belong to the path it left, certain ones have no other way
+    place = np.arange(len(chance)) - np.repeat(ends - sizes, sizes)
+    at = np.flatnonzero((chance < -1e-12) & (place > np.repeat([d[3] for d in drawn], sizes)))
+    of = np.searchsorted(ends, at, side="right")
+    location = before[at] + np.log(-np.expm1(chance[at]))
+    noise = -np.log(uniform(substream(stream(keys, sample + 1000)[of], place[at])))
+    with np.errstate(over="ignore", divide="ignore"):
+        sets[at] = -np.log(np.exp(-np.array([d[2] for d in drawn]))[of] + noise * np.exp(-location))
+    return [
+        Path(edges, words, before[high - len(edges) : high], sets[high - len(edges) : high], log_chance, value)
+        for (edges, words, value, _), high, log_chance in zip(drawn, ends.tolist(), total, strict=True)
+    ]
+
+
 def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text (its marked words): up to k distinct (edges, log-probability, perturbed value, inclusion score)."""
-    known = lattices.start
-    fresh = dict.fromkeys(word for words in texts for word in words if word not in known)
-    if fresh:
-        lattices.add(list(fresh))
+    starts = lattices.starts(texts)
     chances, first, following = lattices.chance, lattices.first, lattices.following
-    starts = [np.fromiter(map(lattices.start.__getitem__, words), np.int64, len(words)) for words in texts]
     paths: list[list[Path]] = [[] for _ in texts]
     # first samples: plain draws; their perturbed value is the maximum over all paths, a Gumbel at 0
     todo = [(i, starts[i], np.arange(len(starts[i])), None) for i in range(len(texts))]
@@ -342,11 +381,13 @@ def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: in
             continue
         counts = np.array([len(t[1]) for t in todo])
         state = np.concatenate([t[1] for t in todo]).astype(np.int64)
-        own_streams = stream(np.array([keys[t[0]] for t in todo], np.uint64), sample)
+        own_keys = np.array([keys[t[0]] for t in todo], np.uint64)
+        own_streams = stream(own_keys, sample)
         number = np.concatenate([t[2] for t in todo])
         edges, of = walk(lattices, state, substream(np.repeat(own_streams, counts), number))
         bounds = np.searchsorted(of, np.r_[0, np.cumsum(counts)])
-        for (i, _, _, turn), low, high in zip(todo, bounds[:-1], bounds[1:], strict=True):
+        drawn = []
+        for (i, _, _, turn), low, high in zip(todo, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mine, words = edges[low:high], number[of[low:high]]
             if turn is None:
                 split = -1
@@ -356,7 +397,9 @@ def segmented(lattices: Lattices, texts: list[list[str]], keys: list[int], k: in
                 path, split, chosen, word, value = turn
                 mine = np.concatenate([path.edges[:split], [chosen], mine]).astype(np.int32)
                 words = np.concatenate([path.word[:split], [word], words])
-            paths[i].append(Path(mine, words, chances[mine], value, keys[i], sample, split))
+            drawn.append((mine, words, value, split))
+        for (i, *_), path in zip(todo, paths_of(drawn, chances, own_keys, sample), strict=True):
+            paths[i].append(path)
     found = []
     for own, limit in zip(paths, over, strict=True):
         rows = []
@@ -382,22 +425,23 @@ def encoded(docs: DataFrame, k: int, seed: int = 42, key: str = "doc_id", path:
 
     def rows_of(lattices: Lattices, ids: list, texts: list[list[str]], keys: list[int]) -> pa.RecordBatch:
         found = segmented(lattices, texts, keys, k)
-        begin, end, flat = lattices.begin[:-1], lattices.begin[1:], lattices.flat
+        edges = [np.zeros(0, np.int32), *(row[0] for rows in found for row in rows)]
+        stop = np.cumsum([len(e) for e in edges])
+        edge = np.concatenate(edges)
+        begin = lattices.begin[edge].astype(np.int64)
+        size = lattices.begin[edge + 1] - begin
+        until = np.r_[0, np.cumsum(size)]
+        pieces = lattices.flat[np.repeat(begin - until[:-1], size) + np.arange(until[-1])]
+        offsets = until[stop]
+        texts_of = iter(vocabulary.texts(pieces, offsets) if digest else ())
         out = [[] for _ in names]
-        lists, offsets = [], [0]
         for doc, rows in zip(ids, found, strict=True):
-            for number, (edges, chance, value, inclusion) in enumerate(rows, 1):
-                size = end[edges] - begin[edges]
-                at = np.repeat(begin[edges] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(edges) else edges
-                pieces = flat[at]
-                lists.append(pieces)
-                offsets.append(offsets[-1] + len(pieces))
-                text = hashlib.sha256(vocabulary.decode(pieces)).hexdigest() if digest else None
+            for number, (_, chance, value, inclusion) in enumerate(rows, 1):
+                text = hashlib.sha256(next(texts_of)).hexdigest() if digest else None
                 for column, cell in zip(out, (doc, number, None, chance, value, inclusion, text), strict=True):
                     column.append(cell)
         arrays = [pa.array(c, t) if n != "ids" else None for c, t, n in zip(out, kinds, names, strict=True)]
-        values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32())
-        arrays[2] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        arrays[2] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces, pa.int32()))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +449,7 @@ def encoded(docs: DataFrame, k: int, seed: int = 42, key: str = "doc_id", path:
         for batch in batches:
             ids, texts, keys, size = [], [], [], 0
             for doc, row_key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                words = [MARK + part for part in text.split(" ")] if text else []
+                words = (MARK + text.replace(" ", " " + MARK)).split(" ") if text else []
                 ids.append(doc)
                 texts.append(words)
                 keys.append(row_key & ((1 << 64) - 1))
