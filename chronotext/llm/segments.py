@@ -34,7 +34,7 @@ from chronotext.llm.registry import query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of texts segmented at a time; lattice states a task remembers.
-CHUNK, REMEMBER = 50_000, 600_000
+CHUNK, REMEMBER = 100_000, 600_000
 END = -1
 
 
