@@ -117,6 +117,32 @@ def test_chunks_keep_first_copies(spark, odd):
     assert chunks.without_repeats(odd.limit(0)).count() == 0
 
 
+def test_chunks_remove_planted_passages_and_keep_short_tails(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 2000").orderBy("doc_id").select("text").limit(300).collect()]
+    rng, rows, bare, planted = random.Random(11), [], [], {}
+    for n in range(0, 300, 3):
+        words = texts[n].split(" ")
+        size = rng.choice([51, 60, 80, 100])
+        at = rng.randrange(max(1, len(words) - size))
+        passage = " ".join(words[at : at + size])
+        for i, host in ((n, texts[n + 1]), (n + 1, texts[n + 2])):
+            place = host.find(" ", rng.randrange(len(host) // 2)) + 1
+            rows.append((i, host[:place] + passage + " " + host[place:]))
+            bare.append((i, host))
+        planted[n + 1] = len(passage.encode())
+    removed = [{r.doc_id: r.n_removed for r in chunks.without_repeats(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, bare)]
+    found = {i: removed[0][i] - removed[1][i] for i in planted}  # hosts also share strings of their own
+    assert sum(n > 0 for n in found.values()) >= 0.95 * len(planted)
+    assert 0.75 * sum(planted.values()) <= sum(found.values()) <= sum(planted.values())
+    tail = "the same short tail"
+    bodies = [random.Random(s).randbytes(2000).hex() for s in (1, 2)]
+    cut = [chunks.runs_of((b + tail).encode())[0] for b in bodies]
+    assert all(c[-1] - c[-2] < chunks.RUN for c in cut)
+    ended = [(1, bodies[0] + tail), (2, bodies[1] + tail), (3, "a whole text"), (4, "a whole text")]
+    got = {r.doc_id: r.n_removed for r in chunks.without_repeats(spark.createDataFrame(ended, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 12}
+
+
 def test_mix_odd_rows(spark, odd):
     got = mixing.mixed(odd).collect()
     assert len(got) == len(ODD) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
