@@ -7,12 +7,16 @@ one of them. Equal signatures meet by a shuffle on the signature and a sort; can
 Only distinct fingerprints are indexed, so exact copies cost nothing. Inside a run of equal signatures no pairs are
 listed: a breadth-first search over the run gives a spanning forest of its links, which joins the same fingerprints
 into components as all links would.
+
+`one_of_near_copies` is for texts that share at least 0.8 of their word shingles, which a few bits of 64 do not reach:
+`WIDE` fingerprints of a text are taken from mixed shingle hashes and cut into bands of 16 bits. Texts that agree in a band
+and in most bits of two fingerprints are candidates; a candidate counts if its shingles are compared and are alike enough.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,6 +32,10 @@ from chronotext.session import stage
 BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Bytes of a text that are taken apart at a time.
 PIECE = 1 << 20
+#: Fingerprints for near copies and bits of a band; two texts of similarity 0.8 share one of the 48 bands in 97 of 100 cases.
+WIDE, BAND = 12, 16
+#: Of 128 bits, how many candidates may differ in (19 on average at similarity 0.8); members of a band compared at a time.
+REACH, CROWD = 36, 2048
 
 
 def pieces(text: bytes, shingle: int) -> Iterator[list[bytes]]:
@@ -157,12 +165,172 @@ def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int = SHI
     return marked.join(prints, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text; a text of fewer words is one shingle, one without none."""
+    parts, few = [], []
+    for words in pieces(text or b"", shingle):
+        few = words
+        joined = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+        parts.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)))
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return found if len(found) or not few else np.array([xxhash.xxh64_intdigest(b" ".join(few), SEED)], np.uint64)
+
+
+def set_name(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """WIDE SimHashes of 64 bits, each of the same hashes mixed anew."""
+    counts = np.zeros((WIDE, BITS), np.int64)
+    salts = np.arange(1, WIDE + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for low in range(0, len(hashes), 1 << 13):
+        h = hashes[None, low : low + (1 << 13)] + salts
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(WIDE, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of `checks`) within REACH bits: all if they are few, else those of a tree of least distances.
+
+    Such a tree joins what the pairs within any smaller distance join, so a crowd of near copies gives no square of pairs.
+    """
+    apart = np.bitwise_count(checks[:, None, 0] ^ checks[None, :, 0]) + np.bitwise_count(checks[:, None, 1] ^ checks[None, :, 1])
+    a, b = np.nonzero(np.triu(apart <= REACH, 1))
+    if len(a) <= 4 * len(checks):
+        return a, b
+    least, parent, found = apart[0].copy(), np.zeros(len(checks), np.int64), []
+    out = np.ones(len(checks), bool)
+    out[0] = False
+    for _ in range(len(checks) - 1):
+        node = int(np.where(out, least, 255).argmin())
+        if least[node] <= REACH:
+            found.append((parent[node], node))
+        out[node] = False
+        closer = apart[node] < least
+        least[closer], parent[closer] = apart[node][closer], node
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs `a, b` of names whose texts may be near copies; `prints` has name and wide (WIDE longs as bytes)."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = WIDE * BITS // BAND
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
+            values = wide.view(np.uint16).astype(np.int64) | np.arange(bands) << BAND
+            arrays = [values.ravel(), *(np.repeat(x, bands) for x in (batch.column(0).to_numpy(), *wide[:, :2].T.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "name", "c", "d"])
+
+    def compared(key: np.ndarray, name: np.ndarray, checks: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        sizes = np.diff(np.r_[starts, len(key)])
+        small = np.repeat(sizes <= 32, sizes)
+        left, right = [], []
+        for step in range(1, int(sizes[sizes <= 32].max(initial=0))):
+            at = np.flatnonzero((key[step:] == key[:-step]) & small[:-step])
+            apart = np.bitwise_count(checks[at] ^ checks[at + step]).sum(axis=1)
+            left.append(at[apart <= REACH])
+            right.append(left[-1] + step)
+        for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            for low in range(start, max(start + 1, start + size - CROWD // 2), CROWD // 2):  # a crowd in overlapping parts
+                a, b = near_tree(checks[low : min(low + CROWD, start + size)])
+                left.append(a + low)
+                right.append(b + low)
+        a, b = (name[np.concatenate(x)] if x else name[:0] for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows since the last run that has ended
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if not held or columns[0][-1] == held[0][0][-1]:
+                held.append(columns)
+                continue
+            at = int(np.searchsorted(columns[0], columns[0][-1]))
+            held.append([c[:at] for c in columns])
+            yield together(held)
+            held = [[c[at:] for c in columns]]
+        if held:
+            yield together(held)
+
+    def together(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, name, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return compared(key, name, np.stack([c, d], axis=1).view(np.uint64))
+
+    rows = prints.select("name", "wide").mapInArrow(banded, "key long, name long, c long, d long")
+    return rows.repartition("key").sortWithinPartitions("key", "c", "d").mapInArrow(met, "a long, b long").where("a <> b").distinct()
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`doc_id, fp, root, component_id` as `groups` gives, `fp` being a name of the text's set of shingles.
+
+    Texts are linked if the Jaccard similarity of their sets, counted on the texts, is at least `similarity`.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), shingle) for text in batch.column(2)]
+            arrays = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "key", "name", "wide"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(text.as_py(), shingle).tobytes() for text in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["name", "shingles"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, other = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                fine.append(both >= similarity * (len(one) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    text = F.col("text").cast("binary").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("key"), text)
+    marked = stage(rows.mapInArrow(each, "doc_id long, key long, name long, wide binary"), "wide")
+    prints = marked.groupBy("name").agg(F.min("wide").alias("wide"), F.min("key").alias("key"), F.min("doc_id").alias("first"))
+    prints = stage(prints, "prints")
+    pairs = stage(candidates(prints), "candidates")
+    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    wanted = stage(prints.join(wanted, "name", "left_semi").select("name", "key"), "wanted")
+    sets = rows.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+    sets = stage(sets.mapInArrow(listed, "name long, shingles binary"), "shingles")
+    pairs = pairs.join(sets.withColumnRenamed("name", "a").withColumnRenamed("shingles", "x"), "a")
+    pairs = pairs.join(sets.withColumnRenamed("name", "b").withColumnRenamed("shingles", "y"), "b")
+    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    prints = prints.join(roots, prints["name"] == roots["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root"))
+    least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
+    prints = stage(prints.join(least, "root").select("name", "root", "component_id"), "groups")
+    return marked.join(prints, "name").select("doc_id", F.col("name").alias("fp"), "root", "component_id")
+
+
+def one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that stay of groups of near copies, chosen as `one_of_each` does."""
+    return staying(docs, near_groups(docs, shingle, similarity), lambda text: set_name(shingle_set(text, shingle)))
+
+
 def one_of_each(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that stay: of each group, one row with its least doc_id, all columns kept.
 
     Rows without doc_id stay only in groups where no row has one, and then one row of the least fingerprint does.
     """
-    marked = stage(groups(docs, max_distance, shingle), "groups")
+    return staying(docs, groups(docs, max_distance, shingle), lambda text: fingerprint(text, shingle))
+
+
+def staying(docs: DataFrame, found: DataFrame, print_of: Callable[[bytes | None], int]) -> DataFrame:
+    """One row of each group in `found`; `print_of` gives the fp of a text."""
+    marked = stage(found, "groups")
     bare = marked.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp"))
     keep = marked.where("doc_id = component_id").select("doc_id", "fp", "root")
     # of rows that share the least doc_id but not the text, the one with the least fingerprint
@@ -173,7 +341,7 @@ def one_of_each(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int
 
     # rows that doc_id alone does not tell apart: their fingerprints are taken again
     odd = docs.where("doc_id is null").union(docs.join(twice, "doc_id", "left_semi").select(*docs.columns))
-    bits = F.udf(lambda text: fingerprint(bytes(text) if text is not None else None, shingle), "long")
+    bits = F.udf(lambda text: print_of(bytes(text) if text is not None else None), "long")
     odd = odd.withColumn("_print", bits(F.col("text").cast("binary")))
     wanted = keep.union(bare.select(F.lit(None).cast("long"), "fp")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
     odd = odd.join(wanted, odd["doc_id"].eqNullSafe(F.col("_id")) & (odd["_print"] == F.col("_fp")), "left_semi")

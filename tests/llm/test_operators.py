@@ -66,6 +66,47 @@ def test_simhash_links_equal_brute_force(spark):
     assert all(found.get(p, p) == root[p] for p in signed)
 
 
+def test_near_copies_equal_brute_force(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = random.Random(7)
+    for n, i in enumerate(sorted(i for i, t in texts.items() if t and len(t.split()) > 100)[:60]):  # planted: some words changed
+        words = texts[i].split()
+        for at in rng.sample(range(len(words)), max(1, len(words) * (n % 4) // 200)):
+            words[at] = f"other{at}"
+        texts[10_000_000 + i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets, holders = {i: set(simhash.shingle_set((t or "").encode(), 5).tolist()) for i, t in texts.items()}, {}
+    shared = {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[s].append(i)
+    want = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and sets[a] != sets[b]}
+    group = {r.doc_id: r.root for r in simhash.near_groups(docs).collect()}
+    linked = sum(group[a] == group[b] for a, b in want)
+    print(f"near copies: {linked} of {len(want)} pairs linked")
+    assert len(want) > 40 and linked >= 0.95 * len(want)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in [*want, *((a, b) for (a, b), n in shared.items() if sets[a] == sets[b])]:
+        root[top(a)] = top(b)
+    by_group = {}
+    for i, g in group.items():
+        by_group.setdefault(g, set()).add(top(i))
+    assert all(len(g) == 1 for g in by_group.values() if not any(not sets[i] for i in g))  # nothing else is linked
+    kept = simhash.one_of_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, None]
+    assert simhash.one_of_near_copies(odd.limit(0)).count() == 0
+
+
 def plain_cut(rows):
     rows = [(suffixes.NO_ID if i is None else i, (t or "").encode(), i) for i, t in rows]
     first = {}
