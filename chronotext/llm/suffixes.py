@@ -5,7 +5,7 @@ strings without moving every suffix, each window of `WIDTH` bytes is owned by it
 shorter string (`GRAM` bytes) in it. Equal windows have equal anchors at equal offsets, so windows need to be compared
 only with windows of the same anchor hash:
 
-1. texts are dealt into blocks of about a MB; each block lists its anchor hashes, dealt over buckets by hash;
+1. texts are dealt into blocks of about a MB by id and digest (many rows alike in both over several); each block lists its anchor hashes, dealt over buckets by hash;
 2. a bucket tells each block which of its hashes occur elsewhere too (one bit each);
 3. blocks send the windows of those anchors, once per distinct run of windows, to the buckets;
 4. a bucket sorts the suffixes that start at these windows, deep-shallow: multikey quicksort on eight-byte words down to a
@@ -36,6 +36,8 @@ BLOCK_BYTES, PIECE = 1 << 20, 1 << 18
 SHALLOW = 24
 #: Suffixes compared with their leaders at a time.
 COMPARED = 1 << 15
+#: Bytes that a row counts for besides its text when rows alike in id and text are dealt.
+ROW_BYTES = 100
 NO_ID = (1 << 63) - 1
 
 
@@ -106,8 +108,10 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """(bucket, slice) of sorted hashes."""
+    if not len(hashes):
+        return
     of = bucket_of(hashes, buckets)
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     for s, e in zip(first, np.r_[first[1:], len(of)], strict=True):
         yield int(of[s]), slice(s, e)
 
@@ -246,12 +250,20 @@ def cut(docs: DataFrame, carry: bool = False) -> DataFrame:
     blocks = max(1, size // BLOCK_BYTES)
     buckets = max(1, blocks // 2)
 
-    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    texts = texts.select(block_of, "id", "digest", "data", "rest")
+    block_of = F.pmod(F.xxhash64("id", "digest", "salt"), F.lit(blocks)).alias("block")
+    weight = F.sum(F.col("n") + ROW_BYTES)
+    alike = narrow.groupBy("id", "digest").agg(F.ceil(weight / BLOCK_BYTES).cast("int").alias("salts"), F.count("*").alias("rows"))
+    alike = stage(alike.where("salts > 1 and rows > 1").select("id", "digest", "salts"), "alike")
+    salts = F.coalesce("salts", F.lit(1))
+    # results do not depend on which block a row is in: ids decide, and each block learns which texts are copies
+    texts = texts.withColumn("row", F.monotonically_increasing_id()).join(alike, ["id", "digest"], "left")
+    texts = texts.withColumn("salt", F.pmod("row", salts).cast("int")).select(block_of, "id", "digest", "data", "rest")
     first = narrow.where(F.col("n") >= WIDTH).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     copies = narrow.join(first.where("first < last").select("digest", "first"), "digest").where("id > first")
     packed_id = F.unhex(F.lpad(F.hex("id"), 16, "0"))
     none = F.lit(None).cast("binary")
+    copies = copies.select("id", "digest").distinct().join(alike, ["id", "digest"], "left")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     copies = copies.select(
         block_of, F.lit(COPY).alias("kind"), F.lit(0).cast("long").alias("bucket"),
         packed_id.alias("ids"), none.alias("starts"), F.unhex("digest").alias("bits"),

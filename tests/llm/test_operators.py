@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -139,6 +140,28 @@ def test_suffix_cut_equals_brute_force(spark, monkeypatch):
     assert suffixes.cut(docs.limit(0)).count() == 0
 
 
+def test_suffix_blocks_stay_small_with_one_id(spark, monkeypatch, tmp_path):
+    prepared(spark)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 4000)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, same = text(60), text(150)
+    rows = [(None, text(100) + common + text(100)) for _ in range(150)] + [(None, same)] * 150 + [(1, same + common), (7, same)] + [(7, same)] * 40
+    rows += [(9, text(50) + common) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder, real = tmp_path, suffixes.opened
+
+    def watched(texts, side):
+        (folder / uuid.uuid4().hex).write_text(str(sum(len(x.as_buffer()) for x in texts["data"])))
+        return real(texts, side)
+
+    monkeypatch.setattr(suffixes, "opened", watched)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.cut(docs).collect()), key=key)
+    assert got == plain_cut(rows)
+    sizes = [int(f.read_text()) for f in folder.iterdir()]
+    assert len(sizes) > 10 and max(sizes) < 4 * 4000
+
+
 def test_suffix_groups_are_sorted():
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab") for _ in range(400)) + b"x" * 150 + bytes(rng.choice(b"ab") for _ in range(60)) * 3
