@@ -60,21 +60,33 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, p
     some = F.exists("v", lambda x: x != 0)
     rows = usable(rows).where(some)
     within = Window.partitionBy("v").orderBy("vec_id")
-    # k + 1 ids of a class are enough: all its members score alike and ties go to smaller ids
-    members = stage(rows.withColumn("n", F.row_number().over(within)).where(F.col("n") <= k + 1), "members")
+    # k + 1 distinct ids of a class are enough: all its members score alike and ties go to smaller ids
+    distinct = stage(rows.groupBy("v", "vec_id").agg(F.count("*").alias("times")), "distinct")
+    members = stage(distinct.withColumn("n", F.row_number().over(within)).where(F.col("n") <= k + 1), "members")
     classes = members.where("n = 1").select(F.col("vec_id").alias("entry"), F.col("v").alias("cv"))
+    shared = members.where("n = 2").select("v")
+    sole = F.when(F.col("v").isNull(), F.col("entry")).alias("sole")  # the one id of a class, if it has no other
+    classes = classes.join(shared, classes["cv"] == shared["v"], "left").select("entry", "cv", sole)
     classes = stage(classes.withColumn("class", F.xxhash64("entry", "cv")), "classes")
     count, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("cv")), F.lit(1))).first()
-    total = rows.count()
+    total = distinct.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     full = 1 << max(0, int(width) - 1).bit_length()
     salts = max(1, -(-count // (2 * full * GROUP)))
-    members = members.join(classes.select("class", "cv"), members["v"] == classes["cv"]).select("class", "vec_id")
+    members = members.join(classes.select("class", "cv"), members["v"] == classes["cv"]).select("class", "vec_id", "times")
     asked = usable(queries).where(some).distinct()
-    asked = stage(asked.join(classes, asked["v"] == classes["cv"]).select(F.col("vec_id").alias("query_id"), "class"), "queries")
-    asking = stage(classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "cv"), "asking")
+    asked = asked.join(classes, asked["v"] == classes["cv"]).select(F.col("vec_id").alias("query_id"), "class")
+    # queries of a class ask as one, but those whose id has other vectors too ask alone, so that all own rows stay out
+    mine = distinct.groupBy("vec_id").agg(F.count("*").alias("vectors"), F.sum("times").alias("rows"))
+    mine = mine.withColumnRenamed("vec_id", "query_id")
+    asked = asked.join(mine, "query_id", "left").withColumn("own", F.when(F.col("vectors") > 1, F.col("query_id")))
+    need = F.least(F.lit(k), F.lit(total) - F.coalesce("rows", F.lit(0))).alias("need")
+    asked = asked.withColumn("asker", F.xxhash64("class", F.coalesce("own", F.lit(0)), F.col("own").isNull()))
+    asked = stage(asked.select("query_id", "class", "own", "asker", need), "queries")
+    asking = asked.select("class", "own", "asker").distinct().join(classes.select("class", "cv"), "class")
+    asking = stage(asking.select(F.col("asker").alias("class"), "cv", F.col("own").alias("sole")), "asking")
 
     def hashed(of: DataFrame, n_tables: int, n_probes: int) -> DataFrame:
-        """`class, cv, bucket`, one row per table and probe; a bucket is table * 2 * width + axis."""
+        """`class, cv, sole, bucket`, one row per table and probe; a bucket is table * 2 * width + axis."""
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -84,10 +96,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, p
                     found = axes(unit, number, n_probes) + number * 2 * full
                     for probe in range(found.shape[1]):
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0), batch.column(1), pa.array(found[:, probe], pa.int64())], names=["class", "cv", "bucket"]
+                            [*batch.columns, pa.array(found[:, probe], pa.int64())], names=["class", "cv", "sole", "bucket"]
                         )
 
-        return of.select("class", "cv").mapInArrow(each, "class long, cv array<double>, bucket long")
+        return of.select("class", "cv", "sole").mapInArrow(each, "class long, cv array<double>, sole long, bucket long")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("asker", pa.int64()), ("class", pa.int64()), ("score", pa.float64())])
@@ -96,22 +108,29 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, p
         names, points = right["class"].to_numpy(), matrix(right["cv"], full)
         by_name = np.argsort(names)
         names, points = names[by_name], points[by_name]
+        sole = right["sole"].combine_chunks().take(pa.array(by_name))
+        only, single = sole.fill_null(0).to_numpy(), sole.is_valid().to_numpy(zero_copy_only=False)
         parts = []
         for low in range(0, left.num_rows, 512):
             part = left.slice(low, 512)
             vectors, own = matrix(part["cv"], full), part["class"].to_numpy()
             score = vectors @ points.T
+            barred = part["sole"].combine_chunks()
+            for row in np.flatnonzero(barred.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                score[row, single & (only == barred[row].as_py())] = -np.inf
             keep = min(k + 1, len(names))
             top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
             asker = np.repeat(np.arange(len(own)), keep)
-            exact = (vectors[asker] * points[top.ravel()]).sum(axis=1)  # the same number wherever a pair is met
-            parts.append(pa.Table.from_arrays([pa.array(own[asker]), pa.array(names[top.ravel()]), pa.array(exact)], schema=schema))
+            open_, top = np.isfinite(np.take_along_axis(score, top, axis=1).ravel()), top.ravel()
+            asker, top = asker[open_], top[open_]
+            exact = (vectors[asker] * points[top]).sum(axis=1)  # the same number wherever a pair is met
+            parts.append(pa.Table.from_arrays([pa.array(own[asker]), pa.array(names[top]), pa.array(exact)], schema=schema))
         return pa.concat_tables(parts)
 
     def answers(asking_: DataFrame, n_tables: int, n_probes: int) -> DataFrame:
         points = hashed(classes, n_tables, 1).withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-        probing = hashed(asking_, n_tables, n_probes).select("class", "cv", "bucket", every)
+        probing = hashed(asking_, n_tables, n_probes).select("class", "cv", "sole", "bucket", every)
         met = probing.groupBy("bucket", "salt").cogroup(points.groupBy("bucket", "salt"))
         found = met.applyInArrow(compare, "asker long, class long, score double")
         return found.distinct()
@@ -121,17 +140,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, p
         by_class = Window.partitionBy("asker").orderBy(F.col("score").desc(), "entry")
         found = found.join(classes.select("class", "entry"), "class")
         found = found.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= k + 1).drop("n", "entry")
+        found = found.join(asked.select("asker", F.col("own").alias("out")).distinct(), "asker").join(members, "class")
         by_member = Window.partitionBy("asker").orderBy(F.col("score").desc(), "vec_id")
-        found = found.join(members, "class").withColumn("n", F.row_number().over(by_member)).where(F.col("n") <= k + 1)
-        own = found.select("asker", "vec_id", "score").join(asked.withColumnRenamed("class", "asker"), "asker")
+        found = found.where("out is null or vec_id <> out")
+        found = found.withColumn("n", F.row_number().over(by_member)).where(F.col("n") <= k + 1)
+        own = found.select("asker", "vec_id", "score", "times").join(asked.select("asker", "query_id"), "asker")
+        own = own.where("vec_id <> query_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
         by_query = Window.partitionBy("query_id", "asker").orderBy(F.col("score").desc(), "vec_id")
-        own = own.where("vec_id <> query_id").withColumn("rank", F.row_number().over(by_query).cast("int"))
+        own = own.withColumn("rank", F.row_number().over(by_query).cast("int"))
         return own.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "asker")
 
     first = stage(expanded(answers(asking, tables, probes)), "answers")
-    enough = first.groupBy("asker", "query_id").count().where(F.col("count") >= min(k, max(0, total - 1)))
-    short = asked.join(enough, (asked["class"] == enough["asker"]) & (asked["query_id"] == enough["query_id"]), "left_anti")
-    short = stage(short.select("class").distinct(), "short")
+    got = first.groupBy("asker", "query_id").agg(F.count("*").alias("got"))
+    short = asked.join(got, ["asker", "query_id"], "left").where(F.coalesce("got", F.lit(0)) < F.col("need"))
+    short = stage(short.select(F.col("asker").alias("class")).distinct(), "short")
     found = first
     if short.count():  # looked up in every bucket of one table: all rows
         again = expanded(answers(asking.join(short, "class", "left_semi"), 1, 2 * full))

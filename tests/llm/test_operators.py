@@ -312,6 +312,58 @@ def test_cross_polytope_recall_ties_and_few_rows(spark):
     assert crosspolytope.nearest(rows.limit(0), rows.limit(0), 10).count() == 0
 
 
+def repeated_queries():
+    """VECTORS, of which some queries are repeated: alike, with other vectors near by, and past any k."""
+    rng = np.random.default_rng(9)
+    rows = list(VECTORS)
+    for i, v in VECTORS:
+        if i % 20 == 0 and i < 300:
+            rows += [(i, v)] * (i // 20)
+            rows += [(i, [x + float(e) for x, e in zip(v, rng.normal(size=8) / 50, strict=True)]) for _ in range(i // 10)]
+    return rows + [(7, VECTORS[40][1])] * 3
+
+
+def plain_nearest(rows, points, k):
+    ids, found = np.array([i for i, _ in rows]), {}
+    for n in np.flatnonzero(ids % 20 == 0):
+        score = points @ points[n]
+        score = np.round(score, 9)  # equal vectors score alike
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[n]][:k]
+        found[n] = [(int(ids[j]), score[j]) for j in order]
+    return found
+
+
+def test_ball_tree_with_repeated_query_rows(spark, monkeypatch):
+    monkeypatch.setattr(balltree, "SHARD", 128)
+    rows = repeated_queries()
+    points = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    asks, want = {}, []
+    for n, best in plain_nearest(rows, points, 5).items():
+        asks[rows[n][0]] = min(asks.get(rows[n][0], (rows[n][1], best)), (rows[n][1], best))  # the least vector asks
+    for i, (_, best) in asks.items():
+        want += [(i, rank, j, int(s)) for rank, (j, s) in enumerate(best, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, balltree.top_inner_products(table, table.where("vec_id % 20 = 0"), 5).collect())) == sorted(want)
+
+
+def test_cross_polytope_with_repeated_query_rows(spark):
+    rows = repeated_queries()
+    unit = [(i, [float(x) for x in np.array(v) / np.linalg.norm(v)]) for i, v in rows]
+    points, want = np.array([v for _, v in unit]), {}
+    asked = set()
+    for n, best in plain_nearest(unit, points, 10).items():
+        if (unit[n][0], tuple(unit[n][1])) not in asked:  # each distinct vector of a query id asks
+            asked.add((unit[n][0], tuple(unit[n][1])))
+            want.setdefault(unit[n][0], []).extend((j, round(float(s), 6)) for j, s in best)
+    table = spark.createDataFrame(unit, "vec_id long, embedding array<double>")
+    got = {}
+    for r in crosspolytope.nearest(table, table.where("vec_id % 20 = 0"), 10, probes=16).collect():  # 16 signed axes: all rows
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got.keys() == want.keys()
+    for i, best in want.items():
+        assert np.allclose(sorted(got[i]), sorted(best), rtol=0, atol=3e-6), i
+
+
 def test_segments_follow_their_distribution():
     lattices, words, n = segments.Lattices(segments.Vocabulary()), ["▁the", "▁at"], 8000
     lattices.add(words)
@@ -374,3 +426,25 @@ def test_salvage_skips_and_logs_damage():
     hurt = members[1][:40] + b"\0\0\0" + members[1][43:]
     found = list(warc.records(members[0] + hurt + members[2] + members[3][:50]))
     assert [(r["kind"], r.get("page_id")) for r in found] == [("record", 0), ("gap", None), ("record", 2), ("gap", None)]
+
+
+def test_salvage_keeps_good_records_of_damaged_members():
+    rng = random.Random(8)
+    good = [record(i, rng.randbytes(3000).hex().encode()) for i in range(40)]
+    broken = good[7][:200] + b"x" + good[7][201:]
+    assert broken != good[7] and len(broken) == len(good[7])
+    plain = b"".join([*good[:7], broken, *good[8:]])
+    kinds = lambda data: [(r["kind"], r.get("page_id")) for r in warc.records(data)]
+    whole = [("record", i) for i in range(40)]
+    with_gap = [*whole[:7], ("gap", None), *whole[8:]]
+    assert kinds(gzip.compress(plain)) == with_gap
+    assert kinds(gzip.compress(plain) + gzip.compress(good[0])) == [*with_gap, ("record", 0)]
+    packed = gzip.compress(b"".join(good), mtime=0)
+    cut = [r for r in warc.records(packed[:-5000] + gzip.compress(good[3]))]
+    ids = [r["page_id"] for r in cut if r["kind"] == "record"]
+    assert ids[-1] == 3 and ids[:-1] == list(range(len(ids) - 1)) and len(ids) > 36
+    assert [r["error"] for r in cut if r["kind"] == "gap"]
+    assert kinds(packed[:-3]) == [*whole, ("gap", None)]
+    hurt = packed[:-9000] + bytes(50) + packed[-8950:]
+    found = kinds(hurt)
+    assert found[:30] == whole[:30] and ("gap", None) in found
