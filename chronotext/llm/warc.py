@@ -8,6 +8,7 @@ member, goes on from there and logs the bytes between as a gap.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import zlib
@@ -25,6 +26,8 @@ VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 MIN_REVISIT = 100
 #: Bytes meant to go to one archive.
 ARCHIVE_BYTES = 8 << 20
+#: Compressed bytes that are taken apart at a time.
+PIECE = 1 << 16
 
 FOUND = (
     "archive string, offset long, length long, kind string, record_type string, page_id long, uri string, "
@@ -116,25 +119,48 @@ def record_at(data: bytes, at: int) -> tuple[int, dict] | str:
     return end + 4, found | {"payload_bytes": size, "payload_digest": seen, "refers_to": refers, "payload": payload}
 
 
+def inflated(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at `at` holds up to its end or its first damage, where it ends (None: not known), what is wrong."""
+    member, parts, low = zlib.decompressobj(31), [], at
+    while low < len(data) and not member.eof:
+        before = member.copy()
+        try:
+            parts.append(member.decompress(data[low : low + PIECE]))
+        except zlib.error as error:  # again byte by byte: what comes before the damage counts
+            with contextlib.suppress(zlib.error):
+                for i in range(low, low + PIECE):
+                    parts.append(before.decompress(data[i : i + 1]))
+            return b"".join(parts), None, f"member: {error}"
+        low += PIECE
+    if not member.eof:
+        return b"".join(parts), None, "member is cut off or empty"
+    return b"".join(parts), min(low, len(data)) - len(member.unused_data), ""
+
+
 def records(data: bytes) -> Iterator[dict]:
     """Every record and every gap of an archive, in order: together they cover its bytes.
 
-    Members compressed with gzip may hold one record or several; their records carry the member's offset and length.
+    Members compressed with gzip may hold one record or several; their records and gaps carry the member's offset and
+    length. Of a damaged or cut-off member the whole records before the damage are kept, and one more gap says what is
+    wrong; it reaches to where the next record or member seems to start.
     """
     at, bad, why = 0, None, ""
     start = re.compile(rb"WARC/1\.[0-9]\r\n|\x1f\x8b\x08")
     while at < len(data):
-        got: list[dict] = []
+        got, end = [], at
         if data.startswith(b"\x1f\x8b\x08", at):
-            member = zlib.decompressobj(31)
-            try:
-                plain = member.decompress(memoryview(data)[at:])
-                inner = list(records(plain)) if member.eof else []
-                problem = next((r["error"] for r in inner if r["kind"] == "gap"), "" if inner else "member is cut off or empty")
-            except zlib.error as error:
-                problem = f"member: {error}"
-            end = len(data) - len(member.unused_data) if not problem else at
-            got = [] if problem else [r | {"offset": at, "length": end - at} for r in inner]
+            plain, close, problem = inflated(data, at)
+            inner = list(records(plain))
+            if not any(r["kind"] == "record" for r in inner):
+                problem = problem or next((r["error"] for r in inner), "member is cut off or empty")
+            else:
+                if close is None:
+                    following = start.search(data, at + 1)
+                    close = following.start() if following else len(data)
+                    inner = [r for r in inner if r["kind"] == "record" or r["offset"] + r["length"] < len(plain)]
+                    inner.append({"kind": "gap", "error": problem})
+                problem, end = "", close
+                got = [r | {"offset": at, "length": end - at} for r in inner]
         elif isinstance(one := record_at(data, at), str):
             problem, end = one, at
         else:
