@@ -71,12 +71,13 @@ def best(q: np.ndarray, own: int, k: int, floor: int | None, ids, points, nodes,
             heapq.heappush(queue, (-bound[left], left))
             heapq.heappush(queue, (-bound[right], right))
             continue
-        score, some = points[start:end] @ q, ids[start:end]
-        if end - start > k + 1:
-            top = np.lexsort((some, -score))[: k + 1]
+        others = ids[start:end] != own  # a repeated id may fill the leaf: its rows go before the cut to k
+        score, some = (points[start:end] @ q)[others], ids[start:end][others]
+        if len(some) > k:
+            top = np.lexsort((some, -score))[:k]
             score, some = score[top], some[top]
         for s, i in zip(score.tolist(), some.tolist(), strict=True):
-            if i == own or (floor is not None and s < floor):
+            if floor is not None and s < floor:
                 continue
             if len(found) < k:
                 heapq.heappush(found, (s, -i))
@@ -95,7 +96,8 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame
     rows = stage(usable(rows), "vectors")
     count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards = max(1, -(-count // SHARD))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")  # where a query begins: any shard would do
+    dealt = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
 
     def grown(points: pa.Table) -> pa.Table:
         ids, vectors = points["vec_id"].to_numpy(), scaled(matrix(points["v"], width))
@@ -105,7 +107,7 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame
         return pa.Table.from_arrays(cells, names=["shard", "ids", "points", "nodes", "centres", "radii"])
 
     kind = "shard int, ids binary, points binary, nodes binary, centres binary, radii binary"
-    index = stage(rows.withColumn("shard", home).groupBy("shard").applyInArrow(grown, kind), "trees")
+    index = stage(rows.withColumn("shard", dealt).groupBy("shard").applyInArrow(grown, kind), "trees")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stage(asked.select(F.col("vec_id").alias("query_id"), "v", home.alias("home")), "queries")
 
