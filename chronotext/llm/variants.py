@@ -4,7 +4,7 @@ A word is a binary vector over (letter, how often it has occurred so far). One i
 component, one replaced letter two, so words one edit apart have vectors of Hamming distance at most two. The components
 are dealt over `PARTS` parts; vectors that differ in two components agree on all but two parts, so of the signatures that
 leave out each pair of parts at least one is the same (Arasu, Ganti and Kaushik 2006, one first-level partition). Signatures
-meet by an equality join together with the length, and the edit distance of what meets is checked.
+of distinct multisets meet by an equality join; then the words of near multisets meet and their edit distance is checked.
 """
 
 from __future__ import annotations
@@ -82,37 +82,46 @@ def signatures(codes: np.ndarray, starts: np.ndarray, parts: int = PARTS) -> np.
         return np.stack([mixed(total - sums[:, a] - sums[:, b] + np.uint64(i)) for i, (a, b) in enumerate(left_out)], axis=1)
 
 
-def signed(vocabulary: DataFrame) -> DataFrame:
-    """`signature, size, word, n`, one row for each signature of each word."""
+def signed(classes: DataFrame) -> DataFrame:
+    """`signature, id, letters, members`, one row for each signature of each class (id, letters, members)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 some = batch.slice(at, 4096)
-                texts = some.column(0).to_pylist()
+                texts = some.column("letters").to_pylist()
                 sizes = np.array([len(t) for t in texts], np.int64)
                 codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
                 marks = signatures(codes, np.cumsum(sizes) - sizes)
-                rows = np.repeat(np.arange(len(texts)), marks.shape[1])
-                cells = [pa.array(marks.ravel().view(np.int64)), pa.array(sizes[rows].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(
-                    [*cells, some.column(0).take(pa.array(rows)), some.column(1).take(pa.array(rows))],
-                    names=["signature", "size", "word", "n"],
-                )
+                rows = pa.array(np.repeat(np.arange(len(texts)), marks.shape[1]))
+                cells = [pa.array(marks.ravel().view(np.int64)), *(c.take(rows) for c in some.columns)]
+                yield pa.RecordBatch.from_arrays(cells, names=["signature", *some.schema.names])
 
-    return vocabulary.select("word", "n").mapInArrow(each, "signature long, size int, word string, n long")
+    return classes.select("id", "letters", "members").mapInArrow(each, "signature long, id long, letters string, members long")
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
-    """`word, n, other, other_n`: words one inserted, deleted or replaced letter apart, in both orders; each pair once."""
-    marked = stage(signed(vocabulary), "signatures")
-    one = marked.select("signature", F.col("size").alias("at"), "word", "n")
-    same_or_shorter = F.explode(F.array("size", F.col("size") - 1)).alias("at")
-    two = marked.select("signature", same_or_shorter, "size", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    once = (F.col("size") > F.col("at")) | (F.col("word") < F.col("other"))  # words of one length meet from both sides
-    met = one.join(two, ["signature", "at"]).where(once & (F.levenshtein("word", "other", 1) == 1))
-    pairs = stage(met.select("word", "n", "other", "other_n").distinct(), "near-words")
-    return pairs.union(pairs.select("other", "other_n", "word", "n"))
+    """`word, n, other, other_n`: words one inserted, deleted or replaced letter apart, in both orders; each pair once.
+
+    Words of the same letters are never one edit apart, so classes of them are signed and met; then the words of the
+    smaller class of a pair look for those of the larger one. `id` is a hash of the letters: should two classes share one,
+    their words meet needlessly and the edit distance parts them.
+    """
+    letters = F.array_join(F.sort_array(F.split("word", "")), "").alias("letters")
+    words_ = stage(vocabulary.select("word", "n", letters).withColumn("id", F.xxhash64("letters")), "members")
+    marked = signed(words_.groupBy("id", "letters").agg(F.count("*").alias("members")))
+    one, two = marked.alias("one"), marked.alias("two")
+    close = F.abs(F.length("one.letters") - F.length("two.letters")) <= 1
+    close &= F.levenshtein("one.letters", "two.letters", 2) >= 0  # of sorted letters: two at most for Hamming distance two
+    met = one.join(two, F.col("one.signature") == F.col("two.signature")).where((F.col("one.letters") < F.col("two.letters")) & close)
+    swap = F.col("one.members") > F.col("two.members")
+    ends = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("one.id", "two.id", "few"), ("two.id", "one.id", "many"))]
+    pairs = met.select(*ends).distinct()
+    few = words_.select(F.col("id").alias("few"), "word", "n")
+    many = words_.select(F.col("id").alias("many"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    found = pairs.join(few, "few").drop("few").join(many, "many").where(F.levenshtein("word", "other", 1) == 1)
+    found = stage(found.select("word", "n", "other", "other_n"), "near-words")
+    return found.union(found.select("other", "other_n", "word", "n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
