@@ -11,6 +11,10 @@ pieces are made where it is read, and a sequence's number is made of the task's
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,49 +29,84 @@ from pyspark.sql import functions as F
 from chronotext.llm.registry import query, table
 
 VOCABULARY, END, LONGEST = "word_bpe_49k.json", 2, 4096
-#: Characters of a long text taken at a time, tokens of one batch handed out, words and their ids remembered by a task.
-PIECE, HANDED, WORDS, IDS = 1 << 21, 1 << 20, 300_000, 3_000_000
+#: Bytes of texts taken at a time, tokens of one batch handed out, words and their ids remembered by a worker, new words
+#: encoded at a time.
+PIECE, HANDED, WORDS, IDS, LINE = 1 << 21, 1 << 20, 600_000, 6_000_000, 1000
+#: Words that normalising leaves alone and the word pattern takes whole: a-z and the small letters of Latin-1.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: ASCII marks (but ', which may begin an ending) between a letter or digit and a space: a word of their own in any case.
+ENDING = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+) "
 KIND = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
 class Words:
-    """Ids of words, each encoded once while it is remembered."""
+    """Ids of words, each encoded once while it is remembered.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The file's normaliser and word pattern leave words of small Latin letters whole and as they are; those are given to its
+    model in long lines, where the suffix that ends a word parts them again. All others are encoded one by one.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.whole, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        suffix = self.whole.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("the tokens of this vocabulary do not mark the ends of words")
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith(suffix)]] = True
+        self.lines.normalizer = None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def places(self, words: list[str]) -> np.ndarray:
+        self.starts, self.flat = np.zeros(1, np.int32), np.zeros(0, np.int32)  # where each word's ids start, and the next one's
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of some words."""
+        odd, plain = [], []
+        for word in new:
+            (plain if PLAIN.fullmatch(word) else odd).append(word)
+        found, sizes = [], [np.zeros(0, np.int32)]
+        for at in range(0, len(odd), LINE):
+            one_by_one = [e.ids for e in self.whole.encode_batch_fast(odd[at : at + LINE], add_special_tokens=False)]
+            sizes.append(np.array([len(ids) for ids in one_by_one], np.int32))
+            found.append(np.array([i for ids in one_by_one for i in ids], np.int32))
+        for at in range(0, len(plain), LINE):
+            line = self.lines.encode(" ".join(plain[at : at + LINE]), add_special_tokens=False)
+            found.append(np.array(line.ids, np.int32))
+            sizes.append(np.diff(np.flatnonzero(self.ends[found[-1]]), prepend=-1).astype(np.int32))
+        self.place.update(zip(odd + plain, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(np.concatenate(sizes), dtype=np.int32)])
+        self.flat = np.concatenate([self.flat, *found])
+
+    def places(self, words: np.ndarray) -> np.ndarray:
         if len(self.place) > WORDS or len(self.flat) > IDS:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            sizes = np.array([len(f) for f in found], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *found])
-        return np.array([self.place[w] for w in words], np.int64)
+        place = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self.learn(words[new].tolist())
+            place[new] = [self.place[w] for w in words[new]]
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and each text's number of ids."""
+        """Ids of all texts in one array, and each text's number of ids.
+
+        Letters A-Z become small and marks that end a word become words of their own, but not where special tokens may be.
+        """
         for mark in "\n\t":
             texts = pc.replace_substring(texts, mark, " ")
-        parts = pc.split_pattern(texts, " ")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), ENDING, r"\1 \2 ")
+        parts = pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), texts, parted), " ")
         coded = parts.flatten().dictionary_encode()
-        place = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.sizes[place]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[place] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+        place = pa.array(self.places(coded.dictionary.to_numpy(zero_copy_only=False))).take(coded.indices)
+        ids = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.flat)).take(place)
+        ends = ids.offsets.to_numpy()
+        return ids.flatten().to_numpy(), np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).astype(np.int64)
 
     def encode_long(self, text: str) -> np.ndarray:
         """Ids of a text of any length, some characters at a time (a word longer than that is taken whole)."""
@@ -80,6 +119,12 @@ class Words:
         return np.concatenate(out)
 
 
+@functools.lru_cache(1)
+def remembered(path: str) -> Words:
+    """The words of this worker, which serves many tasks."""
+    return Words(path)
+
+
 def cut(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, length) of the pieces of documents with these numbers of tokens, in order."""
     top = longest.bit_length() - 1
@@ -138,7 +183,7 @@ def packed(
             at = to
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, used = Words(path), np.zeros(longest.bit_length(), np.int64)
+        words, used = remembered(path), np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
             if not len(batch):
                 continue
