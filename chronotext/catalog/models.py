@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.catalog import query, table
 from chronotext.catalog.scoring import SQL_CLUSTERED, clustered
 from chronotext.operators.classify import fit_predict
-from chronotext.operators.cluster import assign, cluster_means, clusters_of, kmeans
+from chronotext.operators.cluster import assign, cluster_means
 from chronotext.operators.features import dense_vectors, deviations, scale
 from chronotext.operators.graph import fuzzy_graph, graph_layout, local_scales
 from chronotext.operators.neighbours import knn
@@ -53,12 +53,6 @@ def nearest_centre(spark, sf_dir):
     return assign(data, centres).select("row_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("kmeans_clusters")
-def kmeans_clusters(spark, sf_dir):
-    dense = dense_vectors(vectors(spark, sf_dir))
-    return clusters_of(kmeans(dense, 4), dense)
-
-
 @query(
     "feature_covariance",
     f"""WITH {SQL_LONG}, m AS (SELECT dim, avg(v) AS m FROM long GROUP BY dim),
