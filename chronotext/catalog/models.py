@@ -9,6 +9,7 @@ from chronotext.catalog import query, table
 from chronotext.catalog.scoring import SQL_CLUSTERED, clustered
 from chronotext.operators.classify import fit_predict
 from chronotext.operators.cluster import assign, cluster_means
+from chronotext.operators.descent import approximate_knn
 from chronotext.operators.features import dense_vectors, deviations, scale
 from chronotext.operators.graph import fuzzy_graph, graph_layout, local_scales
 from chronotext.operators.neighbours import knn
@@ -87,6 +88,13 @@ def nearest_neighbours(spark, sf_dir):
     return found.select("row_id", "neighbour", F.round("distance", 6).alias("distance"), "place")
 
 
+@query("approximate_neighbours")
+def approximate_neighbours(spark, sf_dir):
+    """By descent on the neighbour graph; tests hold its recall against brute force."""
+    found = approximate_knn(vectors(spark, sf_dir), NEIGHBOURS)
+    return found.select("row_id", "neighbour", F.round("distance", 6).alias("distance"), "place")
+
+
 SQL_SCALES = f"""WITH RECURSIVE {SQL_KNN},
 near AS (SELECT row_id, neighbour, distance FROM r WHERE place <= {NEIGHBOURS - 1}),
 base AS (SELECT row_id, coalesce(min(distance) FILTER (distance > 0), 0) AS rho, sum(distance) / {NEIGHBOURS} AS own FROM near GROUP BY ALL),
