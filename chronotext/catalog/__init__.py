@@ -36,4 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from chronotext.catalog import clustering, corpora, labels, models, regressions, reports, representations, samples, scoring  # noqa: F401
+    from chronotext.catalog import clustering, corpora, labels, models, regressions, reports, representations, samples, scoring, wordtables  # noqa: F401

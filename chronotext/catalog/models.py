@@ -65,9 +65,34 @@ def feature_covariance(spark, sf_dir):
     return covariance(vectors(spark, sf_dir)).select("i", "j", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@query("principal_components")
+def _leading(name: str, of: str) -> str:
+    """CTEs {name}: the unit vector of the largest eigenvalue of the matrix `of` (i, j, v), by squaring it 14 times."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {of} WHERE i = j) AS v FROM {of})"]
+    for t in range(14):
+        out += [
+            f"{name}s{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{t} a JOIN {name}{t} b ON a.j = b.i GROUP BY ALL)",
+            f"{name}{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}s{t} WHERE i = j) AS v FROM {name}s{t})",
+        ]
+    return ",\n".join(out) + f""",
+{name}c AS MATERIALIZED (SELECT i, v FROM {name}14 WHERE j = (SELECT arg_max(i, v) FROM {name}14 WHERE i = j)),
+{name} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM {name}c) AS v FROM {name}c)"""
+
+
+SQL_COMPONENTS = f"""WITH {SQL_LONG}, m AS (SELECT dim, avg(v) AS m FROM long GROUP BY dim),
+c AS MATERIALIZED (SELECT vec_id, dim, v - m AS v FROM long JOIN m USING (dim)),
+cov AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, sum(a.v * b.v) AS v FROM c a JOIN c b USING (vec_id) GROUP BY ALL),
+{_leading("p", "cov")},
+size AS (SELECT sum(a.v * cov.v * b.v) AS s FROM cov JOIN p a ON a.i = cov.i JOIN p b ON b.i = cov.j),
+rest AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - s * a.v * b.v AS v FROM cov JOIN p a ON a.i = cov.i JOIN p b ON b.i = cov.j, size),
+{_leading("q", "rest")}
+SELECT vec_id AS row_id, round(sum(c.v * p.v), 6) + 0.0 AS x, round(sum(c.v * q.v), 6) + 0.0 AS y
+FROM c JOIN p ON p.i = dim JOIN q ON q.i = dim GROUP BY vec_id"""
+
+
+@query("principal_components", SQL_COMPONENTS)
 def principal_components(spark, sf_dir):
-    return pca(vectors(spark, sf_dir), 2)
+    found = pca(vectors(spark, sf_dir), 2)
+    return found.select("row_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xy"])
 
 
 SQL_KNN = f"""

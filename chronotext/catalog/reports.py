@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.catalog import query, table
-from chronotext.catalog.corpora import SQL_ORDERS, document_corpus, iso, order_split
+from chronotext.catalog.corpora import SQL_ORDERS, document_corpus, iso, order_corpus, order_split
 from chronotext.catalog.labels import KEYWORDS, SQL_LABELLED, language_corpus
 from chronotext.catalog.models import vector_corpus, vectors
 from chronotext.catalog.representations import hashed_word_vectors
 from chronotext.catalog.scoring import SQL_CLUSTERED, clustered
 from chronotext.operators.labelling import KeywordLabeler
 from chronotext.operators.reduce import pca
-from chronotext.operators.report import projection_view, score_comparison, scores_long
+from chronotext.operators.report import projection_view, score_comparison, scores_long, simple_scores
 from chronotext.operators.trends import code_names, future_reconstruction, named_predictions, ordered_labels
 from chronotext.plans.runs import Settings, run_labelling, run_representation
-from chronotext.session import fresh_path
-from chronotext.sources.corpus import normalise, read_corpus, write_corpus
+from chronotext.session import fresh_path, stage
+from chronotext.sources.corpus import load_or_build, normalise, read_corpus, write_corpus
 from chronotext.sources.stores import (
     append_metrics,
     content_signature,
@@ -57,6 +57,59 @@ def coerced_times(spark, sf_dir):
     return corpus.select("row_id", "text", iso("timestamp").alias("day"), "label_name", "label")
 
 
+@query(
+    "spelled_times",
+    """WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_custkey % 8 AS form FROM orders)
+SELECT row_id, form::INT AS form, strftime(CASE WHEN form = 7 THEN TIMESTAMP '2020-01-01' + to_days(row_id::INT) ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%d') AS day
+FROM o""",
+)
+def spelled_times(spark, sf_dir):
+    """Order dates in every spelling that is read, one in eight of them as no time at all."""
+    forms = ["yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
+    form = F.col("o_custkey") % 8
+    written = F.coalesce(*[F.when(form == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)], F.lit("32.13.99"))
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", form.cast("string").alias("form"), written.alias("posted"))
+    corpus = normalise(raw, "form", timestamp_col="posted", order_by="o_orderkey")
+    return corpus.select("row_id", F.col("text").cast("int").alias("form"), iso("timestamp").alias("day"))
+
+
+@query(
+    "reused_corpus",
+    """WITH o AS (SELECT o_orderkey AS row_id, o_orderpriority AS label_name, date_trunc('month', o_orderdate) AS m FROM orders)
+SELECT call, label_name, count(*) AS n, strftime(min(m), '%Y-%m') AS first_month
+FROM (SELECT 'built' AS call, * FROM o UNION ALL SELECT 'reused', * FROM o UNION ALL SELECT 'built again', * FROM o WHERE row_id % 3 = 0)
+GROUP BY ALL""",
+)
+def reused_corpus(spark, sf_dir):
+    """A corpus built and saved, taken from its file although another one is offered, and replaced when that is asked for."""
+    path = fresh_path(spark, "reused-corpus")
+    orders = order_corpus(spark, sf_dir).withColumn("text", F.lit("order"))
+    other = orders.where("row_id % 3 = 0")
+    calls = [("built", orders, False), ("reused", other, False), ("built again", other, True)]
+    found = None
+    for call, build, regen in calls:
+        got = load_or_build(spark, path, lambda build=build: build, "csv", regen).withColumn("call", F.lit(call))
+        counted = got.groupBy("call", "label_name").agg(F.count("*").alias("n"), iso(F.min("timestamp"), "yyyy-MM").alias("first_month"))
+        counted = stage(counted, "reused-counts")  # before the file is replaced
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+@query(
+    "simple_scores",
+    """SELECT 'label-' || label AS method, 'LR' AS type, round(avg(CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS f1 FROM embeddings GROUP BY label
+UNION ALL
+SELECT 'label-' || label, 'LLM', round(avg(CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) FROM embeddings WHERE label < 5 GROUP BY label""",
+)
+def plain_scores(spark, sf_dir):
+    """Two scores a label, one of them missing for half the labels, in the plain long form."""
+    share = lambda m: F.avg(F.when(F.col("vec_id") % m == 0, 1.0).otherwise(0.0))
+    metrics = table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("label-"), F.col("label")).alias("Method")).agg(
+        share(3).alias("LR_F1_weighted"), F.when(F.first("label") < 5, share(2)).alias("LLM_F1_weighted")
+    )
+    return simple_scores(metrics).select(F.col("Method").alias("method"), "type", F.round("f1", 6).alias("f1"))
+
+
 @query(
     "preferred_label_order",
     """SELECT lang AS label_name, CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END::BIGINT AS place
