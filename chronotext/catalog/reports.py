@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.catalog import query, table
 from chronotext.catalog.corpora import SQL_ORDERS, document_corpus, iso, order_corpus, order_split
 from chronotext.catalog.labels import KEYWORDS, SQL_LABELLED, language_corpus
-from chronotext.catalog.models import vector_corpus, vectors
+from chronotext.catalog.models import SQL_COMPONENTS, vector_corpus, vectors
 from chronotext.catalog.representations import hashed_word_vectors
 from chronotext.catalog.scoring import SQL_CLUSTERED, clustered
 from chronotext.operators.labelling import KeywordLabeler
@@ -274,11 +274,16 @@ def saved_run_rows(spark, sf_dir):
     return load_run(spark, path, "embeddings", "encoder")
 
 
-@query("projection_view")
+@query(
+    "projection_view",
+    f"""WITH axes AS ({SQL_COMPONENTS}), {SQL_CLUSTERED}
+SELECT row_id, x, y, 'class-' || label AS label_name, cluster FROM axes JOIN clustered ON vec_id = row_id""",
+)
 def viewed_projection(spark, sf_dir):
     """Coordinates, true label and cluster of every vector."""
     data = clustered(spark, sf_dir)
-    return projection_view(pca(vectors(spark, sf_dir), 2), vector_corpus(spark, sf_dir), data)
+    view = projection_view(pca(vectors(spark, sf_dir), 2), vector_corpus(spark, sf_dir), data)
+    return view.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in "xy"})
 
 
 @query("tfidf_run_products")

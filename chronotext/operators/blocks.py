@@ -44,7 +44,7 @@ class Part:
 
     def some(self, rows: np.ndarray) -> Part:
         """These rows alone, with all columns of the block."""
-        if len(rows) == self.n:
+        if len(rows) == self.n and (rows == np.arange(self.n)).all():
             return self
         out = object.__new__(Part)
         out.block, out.ids, out.n, out.at = self.block, self.ids[rows], len(rows), self.at
@@ -107,6 +107,13 @@ def whole(sent: pa.Table, at: int) -> dict[int, float]:
     return dict(zip(slot[where == at].tolist(), value[where == at].tolist(), strict=True))
 
 
+def labels_of(part: Part, payload: bytes | None) -> tuple[Part, np.ndarray]:
+    """The rows of a block that have a label, and their labels."""
+    ids, label = np.frombuffer(payload, np.int64).reshape(2, -1) if payload else np.zeros((2, 0), np.int64)
+    order = np.argsort(part.ids)
+    return part.some(order[np.searchsorted(part.ids[order], ids)]), label
+
+
 class Blocks:
     """Blocks of rows (`rows`, kept) and the columns that each has (`columns`: block, at; kept)."""
 
@@ -157,6 +164,19 @@ class Blocks:
         empty = _empty(self.spark, kind)
         return self.rows.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meeting, kind)
 
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """(block, payload): row ids and labels of (row_id, label) by block, for `met` and `labels_of`."""
+
+        def packed(rows_: pa.Table) -> pa.Table:
+            ids, label = rows_["row_id"].to_numpy(), rows_["label"].to_numpy()
+            order = np.argsort(ids)
+            cells = [[rows_["block"][0].as_py()], [np.concatenate([ids[order], label[order]]).astype(np.int64).tobytes()]]
+            return pa.table([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.binary())], names=["block", "payload"])
+
+        named = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("label").cast("long").alias("label"))
+        named = named.withColumn("block", self.block_of())
+        return stage(named.groupBy("block").applyInArrow(packed, "block long, payload binary"), "labels")
+
     def of_rows(self, wanted: DataFrame) -> DataFrame:
         """(slot, at, value) of the rows named by `wanted` (slot, row_id)."""
         kind = "slot long, at long, value double"

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.operators.blocks import Blocks, Part, dense_blocks, labels_of, sparse_blocks
+from chronotext.operators.ranking import positions
 from chronotext.session import stage
 
 MAX_GRID = 4_000_000
-MAX_SUMS = 50_000_000
+#: Clusters whose sums a task compares at a time.
+CLUSTERS_AT_A_TIME = 64
 
 
 def contingency(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -121,107 +124,67 @@ def classification_scores(cells: DataFrame) -> DataFrame:
     )
 
 
-def _from_dots(own_dot: Column, own_n: Column, self_dot: Column, nearest_other: Column) -> Column:
-    """Silhouette of one row: `own_dot` is its dot product with the sum of its cluster's unit vectors."""
-    inside = (own_n - 1 - (own_dot - self_dot)) / (own_n - 1)
-    widest = F.greatest(inside, nearest_other)
-    return F.when((own_n == 1) | (widest == 0), 0.0).otherwise((nearest_other - inside) / widest)
-
-
 def silhouette_rows(features: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(row_id, cluster, silhouette) for dense features (row_id, features array) under cosine distance.
-
-    Cosine distance is linear in unit vectors, so the sum vector and size of every cluster replace all pairs. The sums
-    (clusters x dimensions, checked) travel to the tasks; rows stay where they are.
-    """
-    placed = features.join(clusters.select("row_id", "cluster"), "row_id")
-    sums = _cluster_sums(placed)
-    if len(sums) < 2:
-        return placed.select("row_id", "cluster", F.lit(None).cast("double").alias("silhouette"))
-    names = [r["cluster"] for r in sums]
-    totals = np.array([r["total"] for r in sums])
-    sizes = np.array([float(r["n"]) for r in sums])
-    place = {c: i for i, c in enumerate(names)}
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = _unit_rows(np.vstack(frame["features"].to_numpy()).astype("float64"))
-            at = frame["cluster"].map(place).to_numpy()
-            rows = np.arange(len(frame))
-            dots = x @ totals.T
-            own, n = dots[rows, at], sizes[at]
-            inside = np.divide(n - 1 - (own - (x * x).sum(axis=1)), n - 1, out=np.zeros_like(n), where=n > 1)
-            away = 1 - dots / sizes
-            away[rows, at] = np.inf
-            outside = away.min(axis=1)
-            widest = np.maximum(inside, outside)
-            value = np.divide(outside - inside, widest, out=np.zeros_like(n), where=(n > 1) & (widest != 0))
-            yield pd.DataFrame({"row_id": frame["row_id"], "cluster": frame["cluster"], "silhouette": value})
-
-    kind = placed.schema["cluster"].dataType.simpleString()
-    return placed.select("row_id", "cluster", "features").mapInPandas(
-        score, f"row_id bigint, cluster {kind}, silhouette double"
-    )
-
+    """(row_id, cluster, silhouette) for dense features (row_id, features array) under cosine distance."""
+    placed = features.join(clusters.select("row_id"), "row_id", "left_semi")
+    with dense_blocks(placed) as blocks:
+        return _silhouettes(blocks, clusters)
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
-
-def _cluster_sums(placed: DataFrame) -> list:
-    """Size and sum of unit vectors per cluster, after a check that they are few enough for the driver."""
-    k, dim = placed.agg(F.count_distinct("cluster"), F.max(F.size("features"))).first()
-    if (k or 0) * (dim or 0) > MAX_SUMS:
-        raise ValueError(f"{k} clusters of {dim} dimensions are too many cluster sums")
-    wide = F.col("features").cast("array<double>")
-    squares = F.aggregate(wide, F.lit(0.0), lambda acc, v: acc + v * v)
-    length = F.coalesce(F.nullif(F.sqrt(squares), F.lit(0.0)), F.lit(1.0))
-    units = F.transform(wide, lambda v: v / F.col("length"))
-    vectors = placed.withColumn("length", length).select("cluster", array_to_vector(units).alias("u"))
-    sums = vectors.groupBy("cluster").agg(F.count("*").alias("n"), Summarizer.sum(F.col("u")).alias("s"))
-    return sums.select("cluster", "n", vector_to_array("s").alias("total")).orderBy("cluster").collect()
+def silhouette_rows_sparse(weights: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(row_id, cluster, silhouette) for long features (row_id, term, weight); a row without entries is a zero vector."""
+    index = stage(positions(weights.select("term").distinct(), ["term"], "at"), "term-index")
+    values = weights.join(index, "term").join(clusters.select("row_id"), "row_id", "left_semi")
+    with sparse_blocks(values.select("row_id", "at", F.col("weight").alias("value")), clusters) as blocks:
+        return _silhouettes(blocks, clusters)
 
 
-def silhouette_rows_sparse(weights: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(row_id, cluster, silhouette) for long features (row_id, term, weight) whose rows have length 1 or no entry.
+def _silhouettes(blocks: Blocks, clusters: DataFrame) -> DataFrame:
+    """Cosine distance is linear in unit vectors, so the sum of each cluster's unit vectors replaces all pairs.
 
-    The cluster sums stay a table with one column per cluster, joined on the term; no vector is ever dense.
+    The sums are a table (column, cluster, value) that meets the rows block by block; a null value for a single cluster.
     """
-    sizes = {r[0]: r[1] for r in clusters.groupBy("cluster").count().orderBy("cluster").collect()}
-    if len(sizes) < 2:
+    named = stage(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes")
+    numbered = [(i, r["cluster"], float(r["n"])) for i, r in enumerate(named.orderBy("cluster").collect())]
+    if len(numbered) < 2:
         return clusters.select("row_id", "cluster", F.lit(None).cast("double").alias("silhouette"))
-    in_cluster = weights.join(clusters.select("row_id", "cluster"), "row_id")
-    sums = stage(
-        in_cluster.groupBy("term").agg(
-            *[F.sum(F.when(F.col("cluster") == c, F.col("weight"))).alias(f"s{i}") for i, c in enumerate(sizes)]
-        ),
-        "cluster-sums",
-    )
-    dots = (
-        weights.join(sums, "term")
-        .groupBy("row_id")
-        .agg(
-            F.sum(F.col("weight") * F.col("weight")).alias("self"),
-            *[F.sum(F.col("weight") * F.col(f"s{i}")).alias(f"d{i}") for i in range(len(sizes))],
-        )
-    )
-    rows = clusters.select("row_id", "cluster").join(dots, "row_id", "left").fillna(0.0)
-    own = F.lit(None).cast("double")
-    own_n = F.lit(None).cast("double")
-    others = []
-    for i, (c, n) in enumerate(sizes.items()):
-        mine = F.col("cluster") == c
-        own = F.when(mine, F.col(f"d{i}")).otherwise(own)
-        own_n = F.when(mine, F.lit(float(n))).otherwise(own_n)
-        others.append(F.when(mine, F.lit(float("inf"))).otherwise(1 - F.col(f"d{i}") / F.lit(float(n))))
-    value = _from_dots(F.col("own"), F.col("own_n"), F.col("self"), F.col("outside"))
-    return (
-        rows.withColumns({"own": own, "own_n": own_n, "outside": F.least(*others)})
-        .select("row_id", "cluster", value.alias("silhouette"))
-    )
+    slots = F.broadcast(blocks.spark.createDataFrame([(i, c) for i, c, _ in numbered], f"slot long, cluster {named.schema['cluster'].dataType.simpleString()}"))
+    sizes = np.array([n for *_, n in numbered])
+    owners = blocks.labelled(clusters.join(slots, "cluster").select("row_id", F.col("slot").alias("label")))
+
+    def inverse_lengths(part: Part) -> np.ndarray:
+        length = np.sqrt(part.squares())
+        return np.divide(1.0, length, out=np.zeros(part.n), where=length > 0)
+
+    def summed(part: Part, _sent, payload) -> pa.Table:
+        mine, own = labels_of(part, payload)
+        weight, tables = inverse_lengths(mine), []
+        for first in range(0, len(sizes), CLUSTERS_AT_A_TIME):
+            some = np.arange(first, min(first + CLUSTERS_AT_A_TIME, len(sizes)))
+            total = mine.transposed((own[:, None] == some[None, :]) * weight[:, None])
+            at, slot = np.nonzero(total)
+            tables.append(pa.table([pa.array(mine.at[at]), pa.array(some[slot]), pa.array(total[at, slot])], names=["at", "slot", "value"]))
+        return pa.concat_tables(tables)
+
+    def scored(part: Part, sent: pa.Table, payload) -> pa.Table:
+        mine, own = labels_of(part, payload)
+        weight = inverse_lengths(mine)
+        inner, outside = np.zeros(mine.n), np.full(mine.n, np.inf)
+        for first in range(0, len(sizes), CLUSTERS_AT_A_TIME):
+            some = np.arange(first, min(first + CLUSTERS_AT_A_TIME, len(sizes)))
+            dots = mine.products(mine.columns(sent, some)) * weight[:, None]
+            is_own = own[:, None] == some[None, :]
+            inner += (dots * is_own).sum(axis=1)
+            outside = np.minimum(outside, np.where(is_own, np.inf, 1 - dots / sizes[some]).min(axis=1))
+        n, itself = sizes[own], (weight > 0).astype(float)
+        inside = np.divide(n - 1 - (inner - itself), n - 1, out=np.zeros(mine.n), where=n > 1)
+        widest = np.maximum(inside, outside)
+        value = np.divide(outside - inside, widest, out=np.zeros(mine.n), where=(n > 1) & (widest != 0))
+        return pa.table([pa.array(mine.ids), pa.array(own), pa.array(value)], names=["row_id", "slot", "silhouette"])
+
+    sums = blocks.met(None, summed, "at long, slot long, value double", owners).groupBy("at", "slot").agg(F.sum("value").alias("value"))
+    found = stage(blocks.met(stage(sums, "cluster-sums"), scored, "row_id long, slot long, silhouette double", owners), "silhouettes")
+    return found.join(slots, "slot").select("row_id", "cluster", "silhouette")
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
@@ -293,3 +256,6 @@ def best_mapping(cells: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
     return cells.groupBy().applyInPandas(solve, f"pred {kinds['pred']}, truth {kinds['truth']}, n bigint")
+
+
+register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
