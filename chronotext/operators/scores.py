@@ -144,7 +144,7 @@ def _silhouettes(blocks: Blocks, clusters: DataFrame) -> DataFrame:
 
     The sums are a table (column, cluster, value) that meets the rows block by block; a null value for a single cluster.
     """
-    named = stage(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes")
+    named = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     numbered = [(i, r["cluster"], float(r["n"])) for i, r in enumerate(named.orderBy("cluster").collect())]
     if len(numbered) < 2:
         return clusters.select("row_id", "cluster", F.lit(None).cast("double").alias("silhouette"))
@@ -183,7 +183,7 @@ def _silhouettes(blocks: Blocks, clusters: DataFrame) -> DataFrame:
         return pa.table([pa.array(mine.ids), pa.array(own), pa.array(value)], names=["row_id", "slot", "silhouette"])
 
     sums = blocks.met(None, summed, "at long, slot long, value double", owners).groupBy("at", "slot").agg(F.sum("value").alias("value"))
-    found = stage(blocks.met(stage(sums, "cluster-sums"), scored, "row_id long, slot long, silhouette double", owners), "silhouettes")
+    found = stage(blocks.met(sums, scored, "row_id long, slot long, silhouette double", owners), "silhouettes")
     return found.join(slots, "slot").select("row_id", "cluster", "silhouette")
 
 
