@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from chronotext.functions.text import has_text, strip
 from chronotext.operators.ranking import number_in_order, positions
 from chronotext.session import stage
+from chronotext.sources.quoted import read_quoted
 
 # Fixed values of the normalised schema.
 ORIGIN = "2020-01-01"
@@ -35,12 +36,10 @@ TIME_FORMATS = (
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | T.StructType | None = None) -> DataFrame:
     """Any user table. CSV needs no inference pass: columns stay strings unless a schema is given."""
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
-    return reader.load(path)
+        return read_quoted(spark, path, schema)
+    reader = spark.read.format(fmt)
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
