@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from chronotext.session import held, stage
 
 FANOUT_BITS = 12
+#: Rows of one group that are ranked in one task, once their range has been found.
+RANKED = 100_000
 POSITION_MASK = (1 << 33) - 1
 
 
@@ -59,44 +61,55 @@ def cut_below(df: DataFrame, key: str, tie: str, n: int) -> Column:
 def quota_cut(rows: DataFrame, group: str, key: str, tie: str, quota: DataFrame) -> DataFrame:
     """Per group, the (key, tie) of the `quota`-th smallest row; `key` is a non-negative integer.
 
-    Two counting levels narrow each group to one of 2^24 ranges of the key before any row is ranked, so a group that
-    holds most of the table never meets in one task. `quota` has columns (group, quota); groups with a quota of zero
-    or below are left out of the result, groups smaller than their quota end at their last row.
+    Counting levels narrow each group to a range of the key, then among equal keys to a range of the tie, until it has at
+    most `RANKED` rows; only those are ranked. So neither a group nor a key that holds most of the table meets in one
+    task. `quota` has columns (group, quota); groups with a quota of zero or below are left out of the result, groups
+    smaller than their quota end at their last row. `tie` is an integer, unique among equal keys of a group.
     """
     slim = rows.select(group, F.col(key).alias("k"), F.col(tie).alias("t"))
-    running = Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(group).orderBy("kb", "tb").rowsBetween(Window.unboundedPreceding, 0)
     with held(slim):
         top = slim.agg(F.max("k")).first()[0] or 0
         sizes = slim.groupBy(group).agg(F.count("*").alias("n_rows"))
-        need = (
+        wanted = F.least("n_rows", F.col("quota").cast("bigint"))
+        edge = stage(
             sizes.join(quota, group)
             .where("quota > 0")
-            .select(group, F.least("n_rows", F.col("quota").cast("bigint")).alias("need"))
+            .select(group, wanted.alias("need"), F.lit(0).cast("bigint").alias("kb"), F.lit(0).cast("bigint").alias("tb")),
+            "edge",
         )
-        pool = slim
-        for level in (1, 2):
-            shift = max(0, top.bit_length() - FANOUT_BITS * level)
+        pool = slim.join(edge, group)
+        for on_key, shift in _levels(top):
+            by_key = F.shiftright("k", shift if on_key else 0)
+            by_tie = F.lit(0).cast("bigint") if on_key else F.shiftright("t", shift)
             edge = stage(
-                pool.groupBy(group, F.shiftright("k", shift).alias("b"))
+                pool.groupBy(group, "need", by_key.alias("kb"), by_tie.alias("tb"))
                 .agg(F.count("*").alias("n"))
                 .withColumn("upto", F.sum("n").over(running))
-                .join(need, group)
                 .where("upto >= need AND upto - n < need")
-                .select(group, "b", (F.col("need") - F.col("upto") + F.col("n")).alias("need")),
+                .select(group, "kb", "tb", "n", (F.col("need") - F.col("upto") + F.col("n")).alias("need")),
                 "edge",
             )
-            pool = pool.join(edge.select(group, "b"), group).where(F.shiftright("k", shift) == F.col("b")).drop("b")
-            need = edge.select(group, "need")
+            pool = slim.join(edge.drop("n"), group).where((by_key == F.col("kb")) & (by_tie == F.col("tb")))
+            if edge.where(F.col("n") > RANKED).isEmpty():
+                break
         in_range = Window.partitionBy(group).orderBy("k", "t")
         cuts = (
             pool.withColumn("rank", F.row_number().over(in_range))
-            .join(need, group)
             .where("rank = need")
             .select(group, F.col("k").alias("cut_key"), F.col("t").alias("cut_tie"))
         )
         return stage(cuts, "cuts")
 
 
+def _levels(top: int) -> list[tuple[bool, int]]:
+    """(on the key, right shift) from coarse to exact: keys up to `top`, then 64-bit ties of equal keys."""
+    bits = top.bit_length()
+    keys = [max(0, bits - FANOUT_BITS * level) for level in range(1, max(1, -(-bits // FANOUT_BITS)) + 1)]
+    ties = [max(0, 64 - FANOUT_BITS * level) for level in range(1, -(-64 // FANOUT_BITS) + 1)]
+    return [(True, s) for s in keys] + [(False, s) for s in ties]
+
+
 def within_cut(key: str, tie: str) -> Column:
     """Condition for rows joined with the result of `quota_cut`."""
     return (F.col(key) < F.col("cut_key")) | ((F.col(key) == F.col("cut_key")) & (F.col(tie) <= F.col("cut_tie")))

@@ -40,6 +40,18 @@ def test_quota_cut_with_a_hot_group(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("ranked", [1, 40, 100_000])
+def test_quota_cut_with_a_crowded_key(spark, monkeypatch, ranked):
+    monkeypatch.setattr("chronotext.operators.ranking.RANKED", ranked)
+    rows = [((i - 900) * 7_919_000_001, "hot" if i % 3 else "small", 5 if i % 4 else i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, g string, k bigint").repartition(3)
+    quota = {"hot": 611, "small": 77}
+    cuts = quota_cut(df, "g", "k", "id", spark.createDataFrame(list(quota.items()), "g string, quota bigint")).collect()
+    ordered = {g: sorted((k, i) for i, h, k in rows if h == g) for g in quota}
+    assert {(r.g, r.cut_key, r.cut_tie) for r in cuts} == {(g, *ordered[g][n - 1]) for g, n in quota.items()}
+    assert all(r.cut_key == 5 for r in cuts)
+
+
 def test_positions_are_dense_under_ties(spark):
     rows = [(i, 1 if i % 2 else i % 17) for i in range(5000)]
     df = spark.createDataFrame(rows, "id bigint, k bigint").repartition(9)
