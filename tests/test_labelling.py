@@ -133,13 +133,14 @@ def test_encoder_store_and_fallback(spark, tmp_path):
     path = str(tmp_path / "vectors")
     corpus = spark.createDataFrame([(0, "one two"), (1, "one two"), (2, "..."), (3, "three")], "row_id bigint, text string")
     encoder = HashingEncoder(8)
-    got = {r.row_id: r.features for r in encode(corpus, Failing(), path, fallback=encoder).collect()}
+    with pytest.warns(UserWarning, match="no service.*hashing-8"):
+        got = {r.row_id: r.features for r in encode(corpus, Failing(), path, fallback=encoder).collect()}
     assert got[0] == got[1] and np.linalg.norm(got[0]) == pytest.approx(1) and got[2] == [0.0] * 8
     assert read_store(spark, path, encoder.name).count() == 3 and read_store(spark, path, "failing").count() == 0
     more = corpus.union(spark.createDataFrame([(4, "four")], "row_id bigint, text string"))
     assert encode(more, encoder, path).count() == 5
     assert spark.read.parquet(path).where("encoder = 'hashing-8'").count() == 4
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="no service"):
         encode(corpus, Failing())
 
 
