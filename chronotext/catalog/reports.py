@@ -17,7 +17,7 @@ from chronotext.operators.report import projection_view, score_comparison, score
 from chronotext.operators.trends import code_names, future_reconstruction, named_predictions, ordered_labels
 from chronotext.plans.runs import Settings, run_labelling, run_representation
 from chronotext.session import fresh_path, stage
-from chronotext.sources.corpus import load_or_build, normalise, read_corpus, write_corpus
+from chronotext.sources.corpus import label_codes, load_or_build, normalise, read_corpus, write_corpus
 from chronotext.sources.stores import (
     append_metrics,
     content_signature,
@@ -147,6 +147,33 @@ def names_of_codes(spark, sf_dir):
     return code_names(noisy_split(spark, sf_dir))
 
 
+@query(
+    "majority_code_names",
+    f"""WITH {SQL_PREDICTED}, seen AS (SELECT code, label_name, count(*) AS n, min(row_id) AS f FROM noisy GROUP BY ALL)
+SELECT code::INT AS label, label_name FROM seen QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC, f) = 1""",
+)
+def majority_names_of_codes(spark, sf_dir):
+    """The name that most rows of a code have, which shifted codes cannot change."""
+    return code_names(noisy_split(spark, sf_dir), majority=True)
+
+
+GIVEN_ORDER = ("fr", "none", "en")
+
+
+@query(
+    "given_label_codes",
+    f"""WITH l AS (SELECT DISTINCT trim(lang) AS label_name FROM documents WHERE lang IS NOT NULL),
+placed AS (SELECT label_name, list_position({list(GIVEN_ORDER)}, label_name) AS place FROM l)
+SELECT label_name, CASE WHEN place > 0 THEN place - 1
+  ELSE {len(GIVEN_ORDER)} + row_number() OVER (PARTITION BY coalesce(place, 0) > 0 ORDER BY label_name) - 1 END::INT AS label
+FROM placed""",
+)
+def given_label_codes(spark, sf_dir):
+    """Codes in a given class order, one class of which does not occur; the other classes follow by name."""
+    labels = table(spark, sf_dir, "documents").select(F.trim("lang").alias("label_name"))
+    return label_codes(labels, order=GIVEN_ORDER)
+
+
 @query(
     "named_predictions",
     f"WITH {SQL_PREDICTED} SELECT row_id, pred_name AS pred_label_name FROM shown",

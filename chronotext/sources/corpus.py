@@ -66,10 +66,21 @@ def day_after_origin(row_id: Column, origin: str = ORIGIN) -> Column:
     return F.timestamp_add("DAY", row_id.cast("int"), F.lit(origin).cast("timestamp"))
 
 
-def label_codes(named: DataFrame, label_col: str = "label_name") -> DataFrame:
-    """(label_name, label): codes 0..K-1 by sorted name; null names get no code."""
+def label_codes(named: DataFrame, label_col: str = "label_name", order: Sequence[str] = ()) -> DataFrame:
+    """(label_name, label): codes 0..K-1 by sorted name; null names get no code.
+
+    Names of `order` have their place there as code, whether the others occur or not; the rest follow by name.
+    """
+    if len(set(order)) != len(order):
+        raise ValueError("a label is named twice in the order")
     names = named.select(F.col(label_col).alias("label_name")).where("label_name IS NOT NULL").distinct()
-    coded = positions(names, ["label_name"], "label")
+    if order:
+        place = F.array_position(F.lit(list(order)), F.col("label_name"))
+        given = names.where(place > 0).withColumn("label", place - 1)
+        rest = positions(names.where(place == 0), ["label_name"], "label")
+        coded = given.unionByName(rest.withColumn("label", F.col("label") + len(order)))
+    else:
+        coded = positions(names, ["label_name"], "label")
     return stage(coded.select("label_name", F.col("label").cast("int").alias("label")), "label-codes")
 
 
@@ -95,12 +106,13 @@ def normalise(
     rename: Mapping[str, str] | None = None,
     order_by: str | None = None,
     origin: str = ORIGIN,
+    label_order: Sequence[str] = (),
 ) -> DataFrame:
     """Bring any table to the corpus schema.
 
     Rows with null or blank text are dropped and the rest numbered 0..n-1: by the column `order_by`, nulls last and equal
     values by digest of the text, label and time, or in file order when none is given. A missing or unreadable time becomes `origin` plus `row_id` days. Without a label
-    column every row is `unlabeled` with code 0; a null label is `unlabeled` too.
+    column every row is `unlabeled` with code 0; a null label is `unlabeled` too. Codes follow `label_order`, then the names.
     """
     if text_col not in df.columns:
         raise ValueError(f"no text column '{text_col}' among {df.columns}")
@@ -126,7 +138,7 @@ def normalise(
     else:
         numbered = number_in_order(kept, "row_id")
     if has_label:
-        coded = numbered.join(label_codes(numbered), "label_name", "left")
+        coded = numbered.join(label_codes(numbered, order=label_order), "label_name", "left")
     else:
         coded = numbered.withColumn("label", F.lit(0))
     return coded.select(

@@ -35,6 +35,14 @@ def test_time_spellings(spark):
     assert got == ["2024-05-13"] * 5 + ["2024-01-02", "2024-02-03", "2020-01-08", "2020-01-09"]
 
 
+def test_codes_in_a_given_order(spark):
+    raw = spark.createDataFrame([(i, "t", x) for i, x in enumerate(["b", "a", "z", "c", None])], "id int, text string, lab string")
+    got = normalise(raw, label_col="lab", order_by="id", label_order=("z", "y", "b")).collect()
+    assert {r.label_name: r.label for r in got} == {"z": 0, "b": 2, "a": 3, "c": 4, "unlabeled": 5}
+    with pytest.raises(ValueError):
+        normalise(raw, label_col="lab", label_order=("z", "z"))
+
+
 def test_normalise_without_labels_in_file_order(spark):
     raw = spark.createDataFrame([("b",), ("",), ("a",)], "text string").coalesce(1)
     got = normalise(raw).orderBy("row_id").collect()
@@ -85,6 +93,9 @@ def test_shares_and_names(spark):
     shares = {(str(r.month)[:7], r.label_name): r.share for r in monthly_shares(corpus).collect()}
     assert shares == {("2024-01", "a"): 0.5, ("2024-01", "b"): 0.5, ("2024-02", "a"): 1.0}
     assert {r.label: r.label_name for r in code_names(corpus).collect()} == {0: "b", 1: "a"}
+    mixed = corpus.union(corpus.select(F.col("row_id") + 10, F.lit("c"), "t", "label", "timestamp").limit(1))
+    assert {r.label: r.label_name for r in code_names(mixed, majority=True).collect()}[0] in ("a", "b")
+    assert {r.label: r.label_name for r in code_names(corpus.where("row_id <> 1"), majority=True).collect()} == {0: "a", 1: "a"}
     order = [r.label_name for r in ordered_labels(corpus.union(corpus.withColumn("label_name", F.lit(" "))), preferred=("b", "q")).collect()]
     assert order == ["b", "a"]
 
