@@ -89,7 +89,9 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 def whole_number(value: str | None) -> int | None:
-    return int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,19}", value) else None
+    """The value as a 64-bit number; None for anything else, as a header of a damaged archive can hold any text."""
+    number = int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,19}", value) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def record_at(data: bytes, at: int) -> tuple[int, dict] | str:
