@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm.registry import query, table
-from chronotext.llm.sampling import bounded_sample, remainder
+from chronotext.llm.sampling import bounded_sample, bounded_texts, remainder
 from chronotext.session import stage
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Texts of each language learned from, the longest of them, words of a run, runs joined to a sequence, sequences.
 PER_LANGUAGE, LEARN_BYTES, RUN, RUNS, SEQUENCES = 400, 1 << 20, 16, 4, 3000
+#: Bytes of text of one language that are learned from.
+LANGUAGE_BYTES = 1 << 26
 #: Feature columns (by hash), steps of the optimiser, penalty on squared weights, texts that must hold a lexicon word.
 COLUMNS, STEPS, PENALTY, LEXICON_TEXTS = 1 << 16, 80, 0.5, 3
 #: Letters of a word that are looked at: longer words lose their middle.
@@ -238,16 +240,17 @@ def first_message(lane_emit: np.ndarray, step_on: np.ndarray, jump: np.ndarray,
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Learn from the rows of `docs` (doc_id, text, lang) that have a lang; at most `per_language` of each.
+    """Learn from the rows of `docs` (doc_id, text, lang) that have a lang; at most `per_language` of each, within `LANGUAGE_BYTES`.
 
+    Ids are drawn, then rows: an id on any number of rows is one of its language's ids, and rows alike count once.
     Null ids and langs and texts above `LEARN_BYTES` are not learned from. Without usable rows there is no model.
     """
     rows = docs.where("doc_id is not null and lang is not null")
-    drawn = stage(bounded_sample(rows.select("doc_id", "lang"), "doc_id", "lang", per_language), "drawn")
+    drawn = stage(bounded_sample(rows.select("doc_id", "lang").distinct(), "doc_id", "lang", per_language), "drawn")
     texts = rows.where(F.octet_length("text") <= LEARN_BYTES).select("doc_id", "text", F.col("lang").alias("_lang"))
     # drawn: at most per_language narrow rows for each of a few languages
     found = texts.join(F.broadcast(drawn.distinct()), ["doc_id"]).where("lang = _lang")
-    found = found.select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
+    found = bounded_texts(found, "lang", per_language, LANGUAGE_BYTES).toPandas().sort_values(["doc_id", "lang", "text"])
     return learn(found["text"].tolist(), found["lang"].tolist())
 
 

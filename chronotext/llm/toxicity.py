@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm.registry import query, table
-from chronotext.llm.sampling import bounded_sample, remainder
+from chronotext.llm.sampling import bounded_sample, bounded_texts, remainder
 from chronotext.session import stage
 
 #: Rows of each label that the model is learned on, and the longest text among them.
 PER_LABEL, LEARN_BYTES = 2000, 1 << 20
+#: Bytes of text of one label that are learned from.
+LABEL_BYTES = 1 << 26
 #: Feature columns (by hash), documents that must hold a feature, steps of the optimiser, penalty on squared weights.
 COLUMNS, MIN_DOCUMENTS, STEPS, PENALTY = 1 << 20, 4, 100, 0.1
 #: Fits, and the least weight that keeps a column for the next.
@@ -103,14 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     """Learn from `docs` (doc_id, text) joined with `labels` (doc_id, toxic 0 or 1).
 
     Other label values and nulls are not used; of repeated labels the greatest counts. At most `per_label` rows of each
-    label and texts up to `LEARN_BYTES` are learned from, each label weighted by its rows. No rows: every score is 0.
+    label, within `LABEL_BYTES` a label, and texts up to `LEARN_BYTES` are learned from, each label weighted by its rows.
+    Rows alike in id and text are learned from once, whatever number of rows an id has. No rows: every score is 0.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = stage(marks, "marks")
     totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     drawn = stage(bounded_sample(marks, "doc_id", "toxic", per_label), "drawn")  # at most 2 * per_label narrow rows
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= LEARN_BYTES).join(F.broadcast(drawn), "doc_id")
-    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    rows = bounded_texts(rows, "toxic", per_label, LABEL_BYTES).toPandas().sort_values(["doc_id", "text"])
     share = rows["toxic"].map(rows["toxic"].value_counts())
     return learn(rows["text"].tolist(), rows["toxic"].tolist(), (rows["toxic"].map(totals) / share).tolist())
 

@@ -280,6 +280,48 @@ VECTORS = [(i, [float(x) for x in np.random.default_rng(i).normal(size=8)]) for
 BROKEN = [(500, None), (501, [1.0, None]), (502, [float("nan")]), (503, [float("inf")]), (None, [1.0] * 8)]
 
 
+def test_fits_are_bounded_when_one_id_has_most_rows(spark, monkeypatch):
+    """One id on 3,000 of 3,200 rows: the cap holds, every label is learned from, rows alike count once."""
+    rows = [(7, f"hot wasser nummer {i % 1500}", "de") for i in range(3000)]
+    rows += [(100 + i, f"cold water number {i}", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    learned = {}
+
+    def seen(name):
+        def learn(texts, labels, *rest):
+            learned[name] = list(zip(texts, labels))
+
+        return learn
+
+    monkeypatch.setattr(langid, "learn", seen("lang"))
+    langid.fit(docs, 60)
+    assert {lab: sum(x == lab for _, x in learned["lang"]) for lab in ("de", "en")} == {"de": 60, "en": 60}
+    assert len(set(learned["lang"])) == 120
+    marks = docs.select("doc_id", (F.col("doc_id") == 7).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "learn", seen("toxic"))
+    toxicity.fit(docs, marks, 60)
+    assert {lab: sum(x == lab for _, x in learned["toxic"]) for lab in (0, 1)} == {0: 60, 1: 60}
+    monkeypatch.setattr(toxicity, "LABEL_BYTES", 200)
+    toxicity.fit(docs, marks, 60)
+    for lab in (0, 1):
+        size = [len(t) for t, x in learned["toxic"] if x == lab]
+        assert 0 < sum(size) <= 200 and sum(size) + 30 > 200
+    monkeypatch.setattr(toxicity, "LABEL_BYTES", 1)
+    toxicity.fit(docs, marks, 60)
+    assert sorted(x for _, x in learned["toxic"]) == [0, 1]
+
+
+def test_headers_with_numbers_beyond_64_bits():
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    record = lambda page, size: (
+        b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: %s\r\nContent-Length: %s\r\n\r\n" % (page, size) + block + b"\r\n\r\n"
+    )
+    size = b"%d" % len(block)
+    found = list(warc.records(record(b"9" * 19, size) + record(b"5", b"9" * 19) + record(b"-7", size)))
+    pages = [r.get("page_id") for r in found if r["kind"] == "record"]
+    assert pages == [None, -7] and any(r["kind"] != "record" for r in found)
+
+
 def test_ball_tree_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(balltree, "SHARD", 64)
     rows = spark.createDataFrame(VECTORS + BROKEN, "vec_id long, embedding array<double>").withColumn("shard", F.lit("z"))
