@@ -57,7 +57,8 @@ def order_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso(column: str, pattern: str = "yyyy-MM-dd"):
-    return F.date_format(column, pattern)
+    """The time as text; years beyond 9999 without the plus sign that Spark puts before them."""
+    return F.ltrim(F.date_format(column, pattern), F.lit("+"))
 
 
 @query(
