@@ -11,6 +11,8 @@ into components as all links would.
 `one_of_near_copies` is for texts that share at least 0.8 of their word shingles, which a few bits of 64 do not reach:
 `WIDE` fingerprints of a text are taken from mixed shingle hashes and cut into bands of 16 bits. Texts that agree in a band
 and in most bits of two fingerprints are candidates; a candidate counts if its shingles are compared and are alike enough.
+Every candidate is compared unless its texts are linked already: in a crowd of near copies, those of a tree of least distances
+come first, the nearest of each group before the others, and then all that still lie between two groups.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.components import components
@@ -36,6 +38,8 @@ PIECE = 1 << 20
 WIDE, BAND = 12, 16
 #: Of 128 bits, how many candidates may differ in (19 on average at similarity 0.8); members of a band compared at a time.
 REACH, CROWD = 36, 2048
+#: Members of a band from which on their pairs may come as a tree first; candidates of a group that are compared in a round.
+MANY, QUOTAS = 32, (2, 8, None)
 
 
 def pieces(text: bytes, shingle: int) -> Iterator[list[bytes]]:
@@ -194,15 +198,15 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of `checks`) within REACH bits: all if they are few, else those of a tree of least distances.
+def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (rows of `checks`) within REACH bits: all if they are few, else those of a tree of least distances; whether all.
 
     Such a tree joins what the pairs within any smaller distance join, so a crowd of near copies gives no square of pairs.
     """
     apart = np.bitwise_count(checks[:, None, 0] ^ checks[None, :, 0]) + np.bitwise_count(checks[:, None, 1] ^ checks[None, :, 1])
     a, b = np.nonzero(np.triu(apart <= REACH, 1))
     if len(a) <= 4 * len(checks):
-        return a, b
+        return a, b, True
     least, parent, found = apart[0].copy(), np.zeros(len(checks), np.int64), []
     out = np.ones(len(checks), bool)
     out[0] = False
@@ -214,60 +218,167 @@ def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         closer = apart[node] < least
         least[closer], parent[closer] = apart[node][closer], node
     pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], False
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Pairs `a, b` of names whose texts may be near copies; `prints` has name and wide (WIDE longs as bytes)."""
+def across(checks: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs (rows of `checks`, bits apart) within REACH bits whose roots differ, by blocks of CROWD rows.
+
+    Rows of the most frequent root are not compared with one another, so a crowd that is linked already costs little.
+    """
+    names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    order = np.argsort(which == sizes.argmax(), kind="stable")
+    checks, which, few = checks[order], which[order], len(order) - int(sizes.max())
+    for low in range(0, few, CROWD):
+        for start in range(low, len(order), CROWD):
+            one, two = slice(low, min(low + CROWD, few)), slice(start, start + CROWD)
+            apart = np.bitwise_count(checks[one, None, 0] ^ checks[None, two, 0]) + np.bitwise_count(checks[one, None, 1] ^ checks[None, two, 1])
+            near = (apart <= REACH) & (which[one, None] != which[None, two])
+            if low == start:
+                near = np.triu(near, 1)
+            a, b = np.nonzero(near)
+            yield order[a + low], order[b + start], apart[a, b]
+
+
+def candidates(prints: DataFrame, rest: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """Pairs `a, b` of names whose texts may be near copies, and their `apart`, less for texts that are more alike.
+
+    `prints` has name and wide (WIDE longs as bytes). A band of many members may give the pairs of `near_tree` only, and then
+    its members as pairs with themselves, too. With `rest` (key, name, root, size, room: a prefix of `room` of a text's `size`
+    shingles) instead of bands, all pairs whose roots differ and that share enough of their prefixes to be alike.
+    """
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = WIDE * BITS // BAND
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
             values = wide.view(np.uint16).astype(np.int64) | np.arange(bands) << BAND
-            arrays = [values.ravel(), *(np.repeat(x, bands) for x in (batch.column(0).to_numpy(), *wide[:, :2].T.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "name", "c", "d"])
+            arrays = [values.ravel(), *(np.repeat(x, bands) for x in (*wide[:, :2].T.view(np.int64), batch.column(0).to_numpy()))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=columns)
 
-    def compared(key: np.ndarray, name: np.ndarray, checks: np.ndarray) -> pa.RecordBatch:
+    def compared(key: np.ndarray, checks: np.ndarray, name: np.ndarray, root=None, size_=None, room=None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         sizes = np.diff(np.r_[starts, len(key)])
-        small = np.repeat(sizes <= 32, sizes)
-        left, right = [], []
-        for step in range(1, int(sizes[sizes <= 32].max(initial=0))):
+        spans = list(zip(starts.tolist(), sizes.tolist(), strict=True))
+        if root is not None:
+            for start, size in spans:
+                for a, b, apart in across(checks[start : start + size], root[start : start + size]):
+                    a, b = a + start, b + start
+                    # what lies behind the prefix that ends first is all that can be shared besides what the prefixes share
+                    behind = np.maximum(size_[a] - room[a], size_[b] - room[b])
+                    need = np.ceil(similarity / (1 + similarity) * (size_[a] + size_[b]) - 1e-6).astype(np.int64) - behind
+                    yield pairs(name[a], name[b], apart, need)
+            return
+        small = np.repeat(sizes <= MANY, sizes)
+        found = []
+        for step in range(1, int(sizes[sizes <= MANY].max(initial=0))):
             at = np.flatnonzero((key[step:] == key[:-step]) & small[:-step])
-            apart = np.bitwise_count(checks[at] ^ checks[at + step]).sum(axis=1)
-            left.append(at[apart <= REACH])
-            right.append(left[-1] + step)
-        for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            near = at[np.bitwise_count(checks[at] ^ checks[at + step]).sum(axis=1) <= REACH]
+            found.append((near, near + step))
+        for start, size in spans:
+            if size <= MANY:
+                continue
             for low in range(start, max(start + 1, start + size - CROWD // 2), CROWD // 2):  # a crowd in overlapping parts
-                a, b = near_tree(checks[low : min(low + CROWD, start + size)])
-                left.append(a + low)
-                right.append(b + low)
-        a, b = (name[np.concatenate(x)] if x else name[:0] for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b, every = near_tree(checks[low : min(low + CROWD, start + size)])
+                found.append((a + low, b + low))
+                if not every and size <= CROWD:
+                    found.append((np.unique(np.concatenate([a, b])) + low,) * 2)
+            if size > CROWD:
+                found.append((np.arange(start, start + size),) * 2)
+        a, b = (np.concatenate([np.zeros(0, int), *x]) for x in (([p[i] for p in found]) for i in (0, 1)))
+        yield pairs(name[a], name[b], np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1))
+
+    def pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, need: np.ndarray | None = None) -> pa.RecordBatch:
+        need = np.zeros(len(a), np.int64) if need is None else need
+        arrays = [np.minimum(a, b), np.maximum(a, b), apart.astype(np.int64), need]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "b", "apart", "need"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows since the last run that has ended
         for batch in batches:
             if not len(batch):
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
-            if not held or columns[0][-1] == held[0][0][-1]:
-                held.append(columns)
+            got = [c.to_numpy() for c in batch.columns]
+            if not held or got[0][-1] == held[0][0][-1]:
+                held.append(got)
                 continue
-            at = int(np.searchsorted(columns[0], columns[0][-1]))
-            held.append([c[:at] for c in columns])
-            yield together(held)
-            held = [[c[at:] for c in columns]]
+            at = int(np.searchsorted(got[0], got[0][-1]))
+            held.append([c[:at] for c in got])
+            yield from together(held)
+            held = [[c[at:] for c in got]]
         if held:
-            yield together(held)
+            yield from together(held)
+
+    def together(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, c, d, *beside = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield from compared(key, np.stack([c, d], axis=1).view(np.uint64), *beside)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["name", "c", "d"])
+
+    columns = ["key", "c", "d", "name"]
+    if rest is None:
+        rows = prints.select("name", "wide").mapInArrow(banded, "key long, c long, d long, name long")
+    else:
+        rows = rest.join(prints.select("name", "wide").mapInArrow(checked, "name long, c long, d long"), "name").select(*columns, "root", "size", "room")
+    found = rows.repartition("key").sortWithinPartitions("key", "c", "d").mapInArrow(met, "a long, b long, apart long, need long")
+    found = found.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.max("need").alias("need"))
+    return found.where("n >= need").selectExpr("a", "b", "apart - n as apart")  # n: bands or shingles in common
+
 
-    def together(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        key, name, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return compared(key, name, np.stack([c, d], axis=1).view(np.uint64))
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """`key, name, size, room`: the `room` rarest shingles of each of `sets` (name, shingles), so many that two texts as alike as `similarity`
+    share one of them (prefix filter, Chaudhuri et al. 2006); rarity is counted in `sets`."""
 
-    rows = prints.select("name", "wide").mapInArrow(banded, "key long, name long, c long, d long")
-    return rows.repartition("key").sortWithinPartitions("key", "c", "d").mapInArrow(met, "a long, b long").where("a <> b").distinct()
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(held.as_buffer(), np.int64)
+                size = len(found)
+                least = next(n for n in range(max(0, int(size * similarity) - 1), size + 1) if n >= similarity * size)
+                arrays = [np.full(size, name), found, np.full(size, size), np.full(size, size - least + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["name", "key", "size", "room"])
+
+    found = sets.select("name", "shingles").mapInArrow(parts, "name long, key long, size long, room long")
+    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = found.join(often, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("n", "key"))
+    return met.withColumn("place", place).where("place <= room and n > 1").select("key", "name", "size", "room")
+
+
+def rooted(prints: DataFrame, roots: DataFrame, name: str = "name") -> DataFrame:
+    """`prints` with the root of `name`, which is itself if `roots` has none."""
+    named = roots.withColumnRenamed("node", name)
+    return prints.join(named, name, "left").withColumn("root", F.coalesce("root", name))
+
+
+def linked(
+    pairs: DataFrame, links: DataFrame, tried: DataFrame, alike: Callable[[DataFrame], DataFrame], quotas: tuple[int | None, ...] = QUOTAS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, roots, tried) after the pairs (a, b, apart) have been compared by `alike`, but for those linked before their turn.
+
+    `links` are pairs that are alike and `tried` those compared. A round takes so many nearest pairs of every group; None: all.
+    """
+    roots = stage(components(links), "roots")
+    for quota in quotas:
+        open_ = pairs.join(tried, ["a", "b"], "left_anti")
+        open_ = rooted(open_, roots, "a").withColumnRenamed("root", "x")
+        open_ = rooted(open_, roots, "b").withColumnRenamed("root", "y").where("x <> y")
+        if quota is not None:
+            ends = open_.select("a", "b", "apart", F.explode(F.array("x", "y")).alias("end"))
+            place = F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b"))
+            open_ = ends.withColumn("place", place).where(F.col("place") <= quota)
+        chosen = stage(open_.select("a", "b").distinct(), "chosen")
+        if chosen.isEmpty():
+            break
+        links = stage(links.union(alike(chosen)), "alike")
+        tried = stage(tried.union(chosen), "tried")
+        roots = stage(components(links), "roots")
+    return links, roots, tried
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -302,13 +413,33 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     prints = marked.groupBy("name").agg(F.min("wide").alias("wide"), F.min("key").alias("key"), F.min("doc_id").alias("first"))
     prints = stage(prints, "prints")
     pairs = stage(candidates(prints), "candidates")
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    wanted = stage(prints.join(wanted, "name", "left_semi").select("name", "key"), "wanted")
-    sets = rows.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
-    sets = stage(sets.mapInArrow(listed, "name long, shingles binary"), "shingles")
-    pairs = pairs.join(sets.withColumnRenamed("name", "a").withColumnRenamed("shingles", "x"), "a")
-    pairs = pairs.join(sets.withColumnRenamed("name", "b").withColumnRenamed("shingles", "y"), "b")
-    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    crowd, pairs = pairs.where("a = b").select(F.col("a").alias("name")), pairs.where("a <> b")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        wanted = stage(prints.join(names, "name", "left_semi").select("name", "key"), "wanted")
+        found = rows.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+        return stage(found.mapInArrow(listed, "name long, shingles binary"), "shingles")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.withColumnRenamed("name", "a").withColumnRenamed("shingles", "x"), "a")
+        met = met.join(sets.withColumnRenamed("name", "b").withColumnRenamed("shingles", "y"), "b")
+        return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+    sets, none = sets_of(ends(pairs).union(crowd).distinct()), stage(pairs.select("a", "b").limit(0), "none")
+    if crowd.isEmpty():
+        links, roots, _ = linked(pairs, none, none, compared)
+    else:
+        links, roots, tried = linked(pairs, none, none, compared, QUOTAS[:-1])
+        # what is left between two texts of crowds is found by their shingles, the rest is compared
+        one, two = crowd.select(F.col("name").alias("a"), F.lit(True).alias("one")), crowd.select(F.col("name").alias("b"), F.lit(True).alias("two"))
+        outside = pairs.join(one, "a", "left").join(two, "b", "left").where("one is null or two is null").select("a", "b", "apart")
+        links, roots, tried = linked(outside, links, tried, compared, QUOTAS[-1:])
+        rest = rooted(prefixes(sets.join(crowd, "name", "left_semi"), similarity), roots)
+        left = stage(candidates(prints.join(crowd, "name", "left_semi"), rest, similarity), "candidates")
+        links, roots, _ = linked(left, links, tried, compared)
     prints = prints.join(roots, prints["name"] == roots["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
     prints = stage(prints.join(least, "root").select("name", "root", "component_id"), "groups")
