@@ -4,6 +4,9 @@ Spark cuts a text file into ranges of lines. A line is read under both assumptio
 it does not, which makes a range a function from one bit to one bit. Composing these functions along a file (a prefix scan
 over one small row for each range) tells every range how it starts; then each range puts its own records together, and only
 the pieces of records that cross a range's edge are moved. Nothing depends on how many lines a record has.
+
+A file without line breaks inside quotes needs none of this. Its first line starts outside quotes; if every line that starts
+outside also ends there, each line is a record. One pass finds out, which tells most lines by string functions alone.
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +31,9 @@ BATCH_CHARS = 1 << 24
 WHOLE, REST, BEGUN = 0, 1, 2
 
 _QUOTED = re.compile(r'(?:[^"]++|"")*+')
+#: Lines that start and end outside quotes: fields with quotes around them, or without a quote at their beginning.
+_FIELD = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
+_CLOSED = f"^{_FIELD}(?:,{_FIELD})*$"
 _RANGE_KIND = "file string, start bigint, outside boolean, inside boolean"
 _RECORD_KIND = "file string, start bigint, number bigint, kind int, record string"
 
@@ -150,6 +157,28 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def closes(line: Column) -> Column:
+    """True when a line that starts outside quotes is seen to end outside them: it has none, or plain fields all in quotes."""
+    bare = F.when(F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    return (F.instr(line, '"') == 0) | F.replace(bare, F.lit('","'), F.lit("")).rlike(r'^"[^"]*+"\z')
+
+
+@F.arrow_udf(T.BooleanType())
+def _ends_outside(lines: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(lines, _CLOSED)
+
+
+def _files(lines: DataFrame) -> DataFrame:
+    """(file, first, broken): the place of the first line that is not blank, and whether a record has several lines."""
+    first = F.min(F.when((F.col("start") == 0) & ~F.col("value").isin("", "\r"), F.col("at")))
+    files = stage(lines.groupBy("file").agg(first.alias("first"), F.max(~closes(F.col("value"))).alias("unsure")), "csv-files")
+    if files.where("unsure").isEmpty():
+        return files.withColumnRenamed("unsure", "broken")
+    unsure = lines.where(~closes(F.col("value"))).join(files.where("unsure").select("file"), "file", "left_semi")
+    broken = unsure.where(~_ends_outside("value")).select("file", F.lit(True).alias("broken")).distinct()
+    return stage(files.join(broken, "file", "left").select("file", "first", F.coalesce("broken", F.lit(False)).alias("broken")), "csv-files")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, number, record): the records of the files at `path`; (start, number) is their order in a file.
 
@@ -157,6 +186,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     part of any. Quotes that are never closed make one record of the rest of their file, as they do for any reader.
     """
     lines = _lines(spark, path)
+    files = _files(lines)
+    n_broken, n_plain = (files.where(c).count() for c in ("broken", "NOT broken"))
+    plain = lines.where(~F.col("value").isin("", "\r")).join(files.where("NOT broken").select("file", "first"), "file")
+    plain = plain.select(
+        "file",
+        "start",
+        F.when(F.col("start") == 0, F.col("at") - F.col("first")).otherwise(F.col("at")).alias("number"),
+        F.regexp_replace("value", r"\r\z", "").alias("record"),
+    )
+    if not n_broken:
+        return plain
+    if not n_plain:
+        return _across_lines(lines)
+    broken = lines.join(files.where("broken").select("file"), "file", "left_semi")
+    return plain.unionByName(_across_lines(broken))
+
+
+def _across_lines(lines: DataFrame) -> DataFrame:
+    """The same of files whose records have line breaks inside quotes."""
     # one small row for each range; the planner broadcasts the table if its measured size allows
     entered = stage(_entered(_ranges(lines)), "csv-ranges")
     # `at` keeps the order of lines whichever join is chosen; after a broadcast they come sorted already
