@@ -10,9 +10,9 @@ into components as all links would.
 
 `one_of_near_copies` is for texts that share at least 0.8 of their word shingles, which a few bits of 64 do not reach:
 `WIDE` fingerprints of a text are taken from mixed shingle hashes and cut into bands of 16 bits. Texts that agree in a band
-and in most bits of two fingerprints are candidates; a candidate counts if its shingles are compared and are alike enough.
-Every candidate is compared unless its texts are linked already: in a crowd of near copies, those of a tree of least distances
-come first, the nearest of each group before the others, and then all that still lie between two groups.
+and in most bits of two fingerprints, and whose sizes allow it, are loosely linked; a band tells only what hangs together in it,
+never its pairs. What hangs together over all bands is dealt into blocks by size, and all texts of a block, and of two blocks
+whose sizes allow it, are compared by their shingles inside a task, which returns a spanning forest of the texts that are alike.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 PIECE = 1 << 20
 #: Fingerprints for near copies and bits of a band; two texts of similarity 0.8 share one of the 48 bands in 97 of 100 cases.
 WIDE, BAND = 12, 16
-#: Of 128 bits, how many candidates may differ in (19 on average at similarity 0.8); members of a band compared at a time.
+#: Of 128 bits, how many loosely linked texts may differ in (19 on average at similarity 0.8); members of a band compared at a time.
 REACH, CROWD = 36, 2048
-#: Members of a band from which on their pairs may come as a tree first; candidates of a group that are compared in a round.
-MANY, QUOTAS = 32, (2, 8, None)
+#: Members of a band from which on it is searched by itself; loose links that a task contracts.
+MANY, EDGES = 32, 1 << 17
+#: Shingles of a block of texts to compare, as how many each text counts besides its own; frequent shingles counted at a time.
+BLOCK, ROW, TERMS = 1 << 20, 512, 4096
 
 
 def pieces(text: bytes, shingle: int) -> Iterator[list[bytes]]:
@@ -198,102 +200,49 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (rows of `checks`) within REACH bits: all if they are few, else those of a tree of least distances; whether all.
+def least_reached(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each of the numbers 0 to n - 1 the least it reaches by the edges a, b and by `least` (what it reached before)."""
+    while True:
+        one, two = least[a], least[b]
+        differ = one != two
+        if not differ.any():
+            return least
+        a, b, one, two = a[differ], b[differ], one[differ], two[differ]
+        low = np.minimum(one, two)
+        np.minimum.at(least, one, low)
+        np.minimum.at(least, two, low)
+        while ((deeper := least[least]) != least).any():
+            least = deeper
+
+
+def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether rows of checks (two fingerprints, size, greatest size that can be alike) are within REACH bits and may be alike."""
+    apart = np.bitwise_count(one[..., 0] ^ other[..., 0]) + np.bitwise_count(one[..., 1] ^ other[..., 1])
+    return (apart <= REACH) & (one[..., 2] <= other[..., 3]) & (other[..., 2] <= one[..., 3])
 
-    Such a tree joins what the pairs within any smaller distance join, so a crowd of near copies gives no square of pairs.
-    """
-    apart = np.bitwise_count(checks[:, None, 0] ^ checks[None, :, 0]) + np.bitwise_count(checks[:, None, 1] ^ checks[None, :, 1])
-    a, b = np.nonzero(np.triu(apart <= REACH, 1))
-    if len(a) <= 4 * len(checks):
-        return a, b, True
-    least, parent, found = apart[0].copy(), np.zeros(len(checks), np.int64), []
-    out = np.ones(len(checks), bool)
-    out[0] = False
-    for _ in range(len(checks) - 1):
-        node = int(np.where(out, least, 255).argmin())
-        if least[node] <= REACH:
-            found.append((parent[node], node))
-        out[node] = False
-        closer = apart[node] < least
-        least[closer], parent[closer] = apart[node][closer], node
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1], False
-
-
-def across(checks: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs (rows of `checks`, bits apart) within REACH bits whose roots differ, by blocks of CROWD rows.
-
-    Rows of the most frequent root are not compared with one another, so a crowd that is linked already costs little.
-    """
-    names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    order = np.argsort(which == sizes.argmax(), kind="stable")
-    checks, which, few = checks[order], which[order], len(order) - int(sizes.max())
-    for low in range(0, few, CROWD):
-        for start in range(low, len(order), CROWD):
-            one, two = slice(low, min(low + CROWD, few)), slice(start, start + CROWD)
-            apart = np.bitwise_count(checks[one, None, 0] ^ checks[None, two, 0]) + np.bitwise_count(checks[one, None, 1] ^ checks[None, two, 1])
-            near = (apart <= REACH) & (which[one, None] != which[None, two])
-            if low == start:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            yield order[a + low], order[b + start], apart[a, b]
-
-
-def candidates(prints: DataFrame, rest: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
-    """Pairs `a, b` of names whose texts may be near copies, and their `apart`, less for texts that are more alike.
-
-    `prints` has name and wide (WIDE longs as bytes). A band of many members may give the pairs of `near_tree` only, and then
-    its members as pairs with themselves, too. With `rest` (key, name, root, size, room: a prefix of `room` of a text's `size`
-    shingles) instead of bands, all pairs whose roots differ and that share enough of their prefixes to be alike.
-    """
+
+def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (rows of `checks`) that connect whatever the pairs that are `near` connect, each with the least of its tree."""
+    least = np.arange(len(checks))
+    for low in range(0, len(checks), CROWD):
+        for start in range(low, len(checks), CROWD):
+            a, b = np.nonzero(near(checks[low : low + CROWD, None], checks[None, start : start + CROWD]))
+            least = least_reached(a + low, b + start, least)
+    members = np.flatnonzero(least != np.arange(len(checks)))
+    return least[members], members
+
+
+def loose_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Edges `a, b` between names of `prints` (name, wide: WIDE longs as bytes, size), enough to connect what is `near` in a band."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = WIDE * BITS // BAND
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
             values = wide.view(np.uint16).astype(np.int64) | np.arange(bands) << BAND
-            arrays = [values.ravel(), *(np.repeat(x, bands) for x in (*wide[:, :2].T.view(np.int64), batch.column(0).to_numpy()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=columns)
-
-    def compared(key: np.ndarray, checks: np.ndarray, name: np.ndarray, root=None, size_=None, room=None) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        sizes = np.diff(np.r_[starts, len(key)])
-        spans = list(zip(starts.tolist(), sizes.tolist(), strict=True))
-        if root is not None:
-            for start, size in spans:
-                for a, b, apart in across(checks[start : start + size], root[start : start + size]):
-                    a, b = a + start, b + start
-                    # what lies behind the prefix that ends first is all that can be shared besides what the prefixes share
-                    behind = np.maximum(size_[a] - room[a], size_[b] - room[b])
-                    need = np.ceil(similarity / (1 + similarity) * (size_[a] + size_[b]) - 1e-6).astype(np.int64) - behind
-                    yield pairs(name[a], name[b], apart, need)
-            return
-        small = np.repeat(sizes <= MANY, sizes)
-        found = []
-        for step in range(1, int(sizes[sizes <= MANY].max(initial=0))):
-            at = np.flatnonzero((key[step:] == key[:-step]) & small[:-step])
-            near = at[np.bitwise_count(checks[at] ^ checks[at + step]).sum(axis=1) <= REACH]
-            found.append((near, near + step))
-        for start, size in spans:
-            if size <= MANY:
-                continue
-            for low in range(start, max(start + 1, start + size - CROWD // 2), CROWD // 2):  # a crowd in overlapping parts
-                a, b, every = near_tree(checks[low : min(low + CROWD, start + size)])
-                found.append((a + low, b + low))
-                if not every and size <= CROWD:
-                    found.append((np.unique(np.concatenate([a, b])) + low,) * 2)
-            if size > CROWD:
-                found.append((np.arange(start, start + size),) * 2)
-        a, b = (np.concatenate([np.zeros(0, int), *x]) for x in (([p[i] for p in found]) for i in (0, 1)))
-        yield pairs(name[a], name[b], np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1))
-
-    def pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray, need: np.ndarray | None = None) -> pa.RecordBatch:
-        need = np.zeros(len(a), np.int64) if need is None else need
-        arrays = [np.minimum(a, b), np.maximum(a, b), apart.astype(np.int64), need]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "b", "apart", "need"])
+            beside = (*wide[:, :2].T.view(np.int64), batch.column(0).to_numpy(), batch.column(2).to_numpy())
+            arrays = [values.ravel(), *(np.repeat(x, bands) for x in beside)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "c", "d", "name", "size"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows since the last run that has ended
@@ -306,79 +255,113 @@ def candidates(prints: DataFrame, rest: DataFrame | None = None, similarity: flo
                 continue
             at = int(np.searchsorted(got[0], got[0][-1]))
             held.append([c[:at] for c in got])
-            yield from together(held)
+            yield connected(held)
             held = [[c[at:] for c in got]]
         if held:
-            yield from together(held)
-
-    def together(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, c, d, *beside = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield from compared(key, np.stack([c, d], axis=1).view(np.uint64), *beside)
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["name", "c", "d"])
-
-    columns = ["key", "c", "d", "name"]
-    if rest is None:
-        rows = prints.select("name", "wide").mapInArrow(banded, "key long, c long, d long, name long")
-    else:
-        rows = rest.join(prints.select("name", "wide").mapInArrow(checked, "name long, c long, d long"), "name").select(*columns, "root", "size", "room")
-    found = rows.repartition("key").sortWithinPartitions("key", "c", "d").mapInArrow(met, "a long, b long, apart long, need long")
-    found = found.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.max("need").alias("need"))
-    return found.where("n >= need").selectExpr("a", "b", "apart - n as apart")  # n: bands or shingles in common
+            yield connected(held)
 
-
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """`key, name, size, room`: the `room` rarest shingles of each of `sets` (name, shingles), so many that two texts as alike as `similarity`
-    share one of them (prefix filter, Chaudhuri et al. 2006); rarity is counted in `sets`."""
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(held.as_buffer(), np.int64)
-                size = len(found)
-                least = next(n for n in range(max(0, int(size * similarity) - 1), size + 1) if n >= similarity * size)
-                arrays = [np.full(size, name), found, np.full(size, size), np.full(size, size - least + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["name", "key", "size", "room"])
-
-    found = sets.select("name", "shingles").mapInArrow(parts, "name long, key long, size long, room long")
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = found.join(often, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("name").orderBy("n", "key"))
-    return met.withColumn("place", place).where("place <= room and n > 1").select("key", "name", "size", "room")
-
-
-def rooted(prints: DataFrame, roots: DataFrame, name: str = "name") -> DataFrame:
-    """`prints` with the root of `name`, which is itself if `roots` has none."""
-    named = roots.withColumnRenamed("node", name)
-    return prints.join(named, name, "left").withColumn("root", F.coalesce("root", name))
-
-
-def linked(
-    pairs: DataFrame, links: DataFrame, tried: DataFrame, alike: Callable[[DataFrame], DataFrame], quotas: tuple[int | None, ...] = QUOTAS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, roots, tried) after the pairs (a, b, apart) have been compared by `alike`, but for those linked before their turn.
-
-    `links` are pairs that are alike and `tried` those compared. A round takes so many nearest pairs of every group; None: all.
+    def connected(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, c, d, name, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        most = np.floor(size / similarity + 1e-6).astype(np.uint64)
+        checks = np.stack([c.view(np.uint64), d.view(np.uint64), size.astype(np.uint64), most], axis=1)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        sizes = np.diff(np.r_[starts, len(key)])
+        small = np.repeat(sizes <= MANY, sizes)
+        found = [(np.zeros(0, int),) * 2]
+        for step in range(1, int(sizes[sizes <= MANY].max(initial=0))):
+            at = np.flatnonzero((key[step:] == key[:-step]) & small[:-step])
+            at = at[near(checks[at], checks[at + step])]
+            found.append((at, at + step))
+        for start in starts[sizes > MANY]:
+            a, b = near_tree(checks[start : np.searchsorted(key, key[start], side="right")])
+            found.append((a + start, b + start))
+        return starred(name, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            names, at = np.unique(np.r_[a, b], return_inverse=True)
+            yield starred(names, at[: len(a)], at[len(a) :])
+
+    def starred(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        least = least_reached(a, b, np.arange(len(name)))
+        members = np.flatnonzero(least != np.arange(len(name)))
+        return pa.RecordBatch.from_arrays([pa.array(name[least[members]]), pa.array(name[members])], names=["a", "b"])
+
+    rows = prints.select("name", "wide", "size").mapInArrow(banded, "key long, c long, d long, name long, size int")
+    found = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(met, "a long, b long")
+    found = stage(found, "loose")  # every band has links of its own: what a task has of them is contracted, then all
+    return found.repartition(max(1, found.count() // EDGES)).mapInArrow(contracted, "a long, b long")
+
+
+def blocks_of(members: DataFrame, similarity: float) -> DataFrame:
+    """`name, root, one, two, block`: members (name, root, size) of a root in blocks by size; each for every pair of blocks it is in.
+
+    Of two blocks whose sizes rule out that any two texts are alike there is no pair.
     """
-    roots = stage(components(links), "roots")
-    for quota in quotas:
-        open_ = pairs.join(tried, ["a", "b"], "left_anti")
-        open_ = rooted(open_, roots, "a").withColumnRenamed("root", "x")
-        open_ = rooted(open_, roots, "b").withColumnRenamed("root", "y").where("x <> y")
-        if quota is not None:
-            ends = open_.select("a", "b", "apart", F.explode(F.array("x", "y")).alias("end"))
-            place = F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b"))
-            open_ = ends.withColumn("place", place).where(F.col("place") <= quota)
-        chosen = stage(open_.select("a", "b").distinct(), "chosen")
-        if chosen.isEmpty():
+    weight = F.sum(F.col("size") + ROW).over(Window.partitionBy("root").orderBy("size", "name").rowsBetween(Window.unboundedPreceding, -1))
+    members = stage(members.withColumn("block", F.coalesce(weight, F.lit(0)).cast("long") / F.lit(BLOCK)).withColumn("block", F.floor("block")), "members")
+    ends = members.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    one, two = ends.select("root", F.col("block").alias("one"), "high"), ends.select("root", F.col("block").alias("two"), "low")
+    pairs = one.join(two, "root").where(f"one <= two and high >= low * {similarity} - 1e-6")
+    turns = pairs.select("root", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    return members.join(turns, ["root", "block"]).select("name", "root", "one", "two", "block")
+
+
+def alike_forest(sets: list[np.ndarray], second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the sets (sorted, distinct) that are alike; with any `second`, only of those with the others."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, across = np.repeat(np.arange(len(sets)), size), bool(second.any())
+    while True:  # a text that shares too little with all the others is alike to none
+        if across:
+            met = (np.bincount(term[~second[owner]], minlength=term.max(initial=0) + 1) > 0) & (np.bincount(term[second[owner]], minlength=term.max(initial=0) + 1) > 0)
+        else:
+            met = np.bincount(term) > 1
+        shared = met[term]
+        enough = np.bincount(owner[shared], minlength=len(sets)) >= similarity * size - 1e-6
+        keep = shared & enough[owner]
+        if keep.all():
             break
-        links = stage(links.union(alike(chosen)), "alike")
-        tried = stage(tried.union(chosen), "tried")
-        roots = stage(components(links), "roots")
-    return links, roots, tried
+        term, owner = term[keep], owner[keep]
+    who, owner = np.unique(owner, return_inverse=True)
+    if len(who) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.zeros((len(who), len(who)), np.int32)
+    order = np.argsort(term, kind="stable")  # owners ascend within a term
+    term, owner = term[order], owner[order]
+    often = np.bincount(term)[term] > MANY
+    few, mine = term[~often], owner[~often]
+    for step in range(1, MANY):
+        at = np.flatnonzero(few[step:] == few[:-step])
+        if not len(at):
+            break
+        np.add.at(both.reshape(-1), mine[at] * len(who) + mine[at + step], 1)
+    many, mine = term[often], owner[often]
+    named, many = np.unique(many, return_inverse=True)
+    for low in range(0, len(named), TERMS):
+        held = np.zeros((len(who), min(TERMS, len(named) - low)), np.float32)
+        some = (many >= low) & (many < low + TERMS)
+        held[mine[some], many[some] - low] = 1
+        both += (held @ held.T).astype(np.int32)
+    size, second = size[who], second[who]
+    fine = np.triu(both >= similarity * (size[:, None] + size[None] - both), 1)
+    if across:
+        fine &= second[:, None] != second[None]
+    fine |= fine.T
+    found, rest = [(np.zeros(0, np.int64),) * 2], np.ones(len(who), bool)
+    for first in range(len(who)):
+        queue = [first] if rest[first] else []
+        rest[first] = False
+        while queue:
+            node = queue.pop()
+            reached = np.flatnonzero(fine[node] & rest)
+            rest[reached] = False
+            queue.extend(reached.tolist())
+            found.append((np.full(len(reached), who[node]), who[reached]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -390,56 +373,33 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), shingle) for text in batch.column(2)]
-            arrays = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "key", "name", "wide"])
+            names, sizes = pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
+            wide = pa.array([wide_print(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, wide], names=["doc_id", "key", "name", "size", "wide"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingle_set(text.as_py(), shingle).tobytes() for text in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["name", "shingles"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, other = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                fine.append(both >= similarity * (len(one) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+    def alike(met: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in met["shingles"]]
+        a, b = alike_forest(sets, met["block"].to_numpy() > met["one"].to_numpy(), similarity)
+        name = met["name"].to_numpy()
+        return pa.table({"a": pa.array(name[a], pa.int64()), "b": pa.array(name[b], pa.int64())})
 
     text = F.col("text").cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("key"), text)
-    marked = stage(rows.mapInArrow(each, "doc_id long, key long, name long, wide binary"), "wide")
-    prints = marked.groupBy("name").agg(F.min("wide").alias("wide"), F.min("key").alias("key"), F.min("doc_id").alias("first"))
-    prints = stage(prints, "prints")
-    pairs = stage(candidates(prints), "candidates")
-    crowd, pairs = pairs.where("a = b").select(F.col("a").alias("name")), pairs.where("a <> b")
-
-    def sets_of(names: DataFrame) -> DataFrame:
-        wanted = stage(prints.join(names, "name", "left_semi").select("name", "key"), "wanted")
-        found = rows.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
-        return stage(found.mapInArrow(listed, "name long, shingles binary"), "shingles")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.withColumnRenamed("name", "a").withColumnRenamed("shingles", "x"), "a")
-        met = met.join(sets.withColumnRenamed("name", "b").withColumnRenamed("shingles", "y"), "b")
-        return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-
-    sets, none = sets_of(ends(pairs).union(crowd).distinct()), stage(pairs.select("a", "b").limit(0), "none")
-    if crowd.isEmpty():
-        links, roots, _ = linked(pairs, none, none, compared)
-    else:
-        links, roots, tried = linked(pairs, none, none, compared, QUOTAS[:-1])
-        # what is left between two texts of crowds is found by their shingles, the rest is compared
-        one, two = crowd.select(F.col("name").alias("a"), F.lit(True).alias("one")), crowd.select(F.col("name").alias("b"), F.lit(True).alias("two"))
-        outside = pairs.join(one, "a", "left").join(two, "b", "left").where("one is null or two is null").select("a", "b", "apart")
-        links, roots, tried = linked(outside, links, tried, compared, QUOTAS[-1:])
-        rest = rooted(prefixes(sets.join(crowd, "name", "left_semi"), similarity), roots)
-        left = stage(candidates(prints.join(crowd, "name", "left_semi"), rest, similarity), "candidates")
-        links, roots, _ = linked(left, links, tried, compared)
+    marked = stage(rows.mapInArrow(each, "doc_id long, key long, name long, size int, wide binary"), "wide")
+    least = (F.min(c).alias(c) for c in ("size", "wide", "key"))
+    prints = stage(marked.groupBy("name").agg(*least, F.min("doc_id").alias("first")), "prints")
+    loose = stage(components(loose_links(prints, similarity)), "roots")
+    members = prints.join(loose, prints["name"] == loose["node"]).select("name", "root", "size", "key")
+    dealt = stage(blocks_of(members.select("name", "root", "size"), similarity), "dealt")
+    found = rows.join(stage(members.select("name", "key"), "wanted"), "key").select("name", "text").dropDuplicates(["name"])
+    sets = stage(found.mapInArrow(listed, "name long, shingles binary"), "shingles")
+    links = sets.join(dealt, "name").groupBy("root", "one", "two").applyInArrow(alike, "a long, b long")
+    roots = stage(components(links), "roots")
     prints = prints.join(roots, prints["name"] == roots["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
     prints = stage(prints.join(least, "root").select("name", "root", "component_id"), "groups")
