@@ -42,6 +42,8 @@ REACH, CROWD = 36, 2048
 MANY, EDGES = 32, 1 << 17
 #: Shingles of a block of texts to compare, as how many each text counts besides its own; frequent shingles counted at a time.
 BLOCK, ROW, TERMS = 1 << 20, 512, 4096
+#: Bits by which texts that are not to be compared are left out before the others are looked up; bits of a bitmap of Spark's.
+PLACES, BITMAP = 1 << 24, 1 << 15
 
 
 def pieces(text: bytes, shingle: int) -> Iterator[list[bytes]]:
@@ -396,7 +398,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     loose = stage(components(loose_links(prints, similarity)), "roots")
     members = prints.join(loose, prints["name"] == loose["node"]).select("name", "root", "size", "key")
     dealt = stage(blocks_of(members.select("name", "root", "size"), similarity), "dealt")
-    found = rows.join(stage(members.select("name", "key"), "wanted"), "key").select("name", "text").dropDuplicates(["name"])
+    wanted = stage(members.select("name", "key"), "wanted")
+    place = F.pmod("key", F.lit(PLACES)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros((PLACES // BITMAP, BITMAP // 8), np.uint8)
+    for r in marks.collect():  # at most 2 MB, however many texts there are
+        bits[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    bits = bits.reshape(-1)
+
+    def marked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % PLACES
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    likely = rows.select("key", "text").mapInArrow(marked_keys, "key long, text binary")
+    found = likely.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
     sets = stage(found.mapInArrow(listed, "name long, shingles binary"), "shingles")
     links = sets.join(dealt, "name").groupBy("root", "one", "two").applyInArrow(alike, "a long, b long")
     roots = stage(components(links), "roots")
