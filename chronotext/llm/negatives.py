@@ -202,7 +202,8 @@ def hard_negatives(
         member = F.struct("anchor_id", "label", "v", "asks")
         blocks = asking.groupBy("cluster", "part", "piece").agg(F.collect_list(member).alias("block"))
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")  # a stated set of anchors against all rows
-        met = blocks.select("cluster", "part", "piece", "block", everywhere).join(shard_rows, "shard")
+        # merged: a block is counted once by the planner but stands there for every shard, too much to be sent to all through the driver
+        met = blocks.select("cluster", "part", "piece", "block", everywhere).join(shard_rows.hint("merge"), "shard")
         met = met.repartition(max(8, spark.sparkContext.defaultParallelism), "shard", "cluster", "part", "piece")
         found = met.drop("part", "piece").mapInArrow(search(same, k), "anchor_id long, place long, score long, vec_id long")
         order = Window.partitionBy("anchor_id", "place").orderBy(F.col("score").desc(), "vec_id")
