@@ -11,8 +11,10 @@ into components as all links would.
 `one_of_near_copies` is for texts that share at least 0.8 of their word shingles, which a few bits of 64 do not reach:
 `WIDE` fingerprints of a text are taken from mixed shingle hashes and cut into bands of 16 bits. Texts that agree in a band
 and in most bits of two fingerprints, and whose sizes allow it, are loosely linked; a band tells only what hangs together in it,
-never its pairs. What hangs together over all bands is dealt into blocks by size, and all texts of a block, and of two blocks
-whose sizes allow it, are compared by their shingles inside a task, which returns a spanning forest of the texts that are alike.
+never its pairs. Some alike texts agree in no band, or in too few bits, so texts of such sizes that share one of their rarest shingles are
+linked, too: of so many that no two alike texts share none (prefix filter, Chaudhuri et al. 2006). What hangs together over all
+bands and shingles is dealt into blocks by size, and all texts of a block, and of two blocks whose sizes allow it, are compared
+by their shingles inside a task, which returns a spanning forest of the texts that are alike.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ MANY, EDGES = 32, 1 << 17
 BLOCK, ROW, TERMS = 1 << 20, 512, 4096
 #: Bits by which texts that are not to be compared are left out before the others are looked up; bits of a bitmap of Spark's.
 PLACES, BITMAP = 1 << 24, 1 << 15
+#: Numbers by which shingles are counted, and those added up in a task.
+CELLS, CELLS_A_TASK = 1 << 21, 1 << 17
 
 
 def pieces(text: bytes, shingle: int) -> Iterator[list[bytes]]:
@@ -202,6 +206,42 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def shingle_counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts (column text, binary) have a shingle of each number below `CELLS`, up to 65,535.
+
+    A shingle counts at its hash modulo `CELLS`, so a 1 is a shingle that no second text has, and no count is too low.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int32)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, shingle_set(text.as_py(), shingle) % np.uint64(CELLS), 1)
+        parts = [pa.compress(part.tobytes(), "zstd", asbytes=True) for part in total.reshape(-1, CELLS_A_TASK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def added(met: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS_A_TASK, np.int64)
+        for part in met["counts"].to_pylist():
+            total += np.frombuffer(pa.decompress(part, 4 * CELLS_A_TASK, "zstd"), np.int32)
+        total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
+        return pa.table([met["part"][:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    kind = "part int, counts binary"
+    found = np.zeros((CELLS // CELLS_A_TASK, CELLS_A_TASK), np.uint16)
+    for r in rows.select("text").mapInArrow(counted, kind).groupBy("part").applyInArrow(added, kind).collect():  # 4 MB, however many texts there are
+        found[r.part] = np.frombuffer(r.counts, np.uint16)
+    return found.reshape(-1)
+
+
+def rare_shingles(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's shingles, so many that two texts as alike as `similarity` share one, without those that only it has."""
+    room = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    texts = counts[hashes % np.uint64(CELLS)]
+    first = np.lexsort((hashes, texts))[:room]
+    return hashes[first[texts[first] > 1]]
+
+
 def least_reached(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Of each of the numbers 0 to n - 1 the least it reaches by the edges a, b and by `least` (what it reached before)."""
     while True:
@@ -235,7 +275,9 @@ def near_tree(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def loose_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Edges `a, b` between names of `prints` (name, wide: WIDE longs as bytes, size), enough to connect what is `near` in a band."""
+    """Edges `a, b` between names of `prints` (name, wide: WIDE longs as bytes, size, rare), enough to connect what may be alike:
+    what is `near` in a band, and what shares one of its rare shingles (longs as bytes) and has a size that allows it.
+    """
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = WIDE * BITS // BAND
@@ -282,18 +324,44 @@ def loose_links(prints: DataFrame, similarity: float) -> DataFrame:
     def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
         if parts:
-            a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            names, at = np.unique(np.r_[a, b], return_inverse=True)
-            yield starred(names, at[: len(a)], at[len(a) :])
+            yield joined(parts)
 
     def starred(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         least = least_reached(a, b, np.arange(len(name)))
         members = np.flatnonzero(least != np.arange(len(name)))
         return pa.RecordBatch.from_arrays([pa.array(name[least[members]]), pa.array(name[members])], names=["a", "b"])
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(r.as_buffer(), np.int64) for r in batch.column(1)]
+            beside = [np.repeat(batch.column(c).to_numpy(), [len(k) for k in keys]) for c in (0, 2)]
+            arrays = [np.concatenate([np.zeros(0, np.int64), *keys]), *beside]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "name", "size"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, n = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], [], 0
+        for batch in batches:
+            key, name, size = (np.concatenate([x, c.to_numpy()]) for x, c in zip(last, batch.columns, strict=True))
+            # sizes ascend within a shingle: if two texts may be alike, so may all neighbours between them
+            at = np.flatnonzero((key[1:] == key[:-1]) & (size[1:] <= np.floor(size[:-1] / similarity + 1e-6)))
+            held.append((name[at], name[at + 1]))
+            last, n = [c[-1:] for c in (key, name, size)], n + len(at)
+            if n >= EDGES:
+                yield joined(held)
+                held, n = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names, at = np.unique(np.r_[a, b], return_inverse=True)
+        return starred(names, at[: len(a)], at[len(a) :])
+
     rows = prints.select("name", "wide", "size").mapInArrow(banded, "key long, c long, d long, name long, size int")
     found = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(met, "a long, b long")
-    found = stage(found, "loose")  # every band has links of its own: what a task has of them is contracted, then all
+    rare = prints.select("name", "rare", "size").mapInArrow(listed, "key long, name long, size int")
+    found = found.union(rare.repartition("key").sortWithinPartitions("key", "size", "name").mapInArrow(chained, "a long, b long"))
+    found = stage(found, "loose")  # every band and shingle has links of its own: what a task has of them is contracted, then all
     return found.repartition(max(1, found.count() // EDGES)).mapInArrow(contracted, "a long, b long")
 
 
@@ -369,7 +437,7 @@ def alike_forest(sets: list[np.ndarray], second: np.ndarray, similarity: float)
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`doc_id, fp, root, component_id` as `groups` gives, `fp` being a name of the text's set of shingles.
 
-    Texts are linked if the Jaccard similarity of their sets, counted on the texts, is at least `similarity`.
+    Texts are linked if the Jaccard similarity of their sets, counted on the texts, is at least `similarity`; no such pair is left out.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +445,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             sets = [shingle_set(text.as_py(), shingle) for text in batch.column(2)]
             names, sizes = pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
             wide = pa.array([wide_print(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, wide], names=["doc_id", "key", "name", "size", "wide"])
+            rare = pa.array([rare_shingles(s, counts, similarity).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, wide, rare], names=["doc_id", "key", "name", "size", "wide", "rare"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,8 +461,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     text = F.col("text").cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("key"), text)
-    marked = stage(rows.mapInArrow(each, "doc_id long, key long, name long, size int, wide binary"), "wide")
-    least = (F.min(c).alias(c) for c in ("size", "wide", "key"))
+    counts = shingle_counts(rows, shingle)
+    marked = stage(rows.mapInArrow(each, "doc_id long, key long, name long, size int, wide binary, rare binary"), "wide")
+    least = (F.min(c).alias(c) for c in ("size", "wide", "rare", "key"))
     prints = stage(marked.groupBy("name").agg(*least, F.min("doc_id").alias("first")), "prints")
     loose = stage(components(loose_links(prints, similarity)), "roots")
     members = prints.join(loose, prints["name"] == loose["node"]).select("name", "root", "size", "key")

@@ -47,3 +47,23 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
             monkeypatch.setattr(simhash, name, value)
         got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
         assert [got[i] for i in range(120)] == least.tolist()
+
+
+def test_alike_texts_that_no_band_brings_together_are_linked(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = {}
+    for pair in range(80):
+        words = [f"p{pair}x{i}" for i in range(124)]
+        texts[2 * pair] = " ".join(words)
+        for at in range(rng.randrange(1, 5), 100, 50):  # 10 of 120 shingles go and 10 come
+            words[at + 5] = f"other{at}"
+        texts[2 * pair + 1] = " ".join([*words, *(f"more{pair}y{i}" for i in range(5))])
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in texts.items()}
+    for i in range(0, 160, 2):
+        both = len(np.intersect1d(sets[i], sets[i + 1]))
+        assert both >= 0.8 * (len(sets[i]) + len(sets[i + 1]) - both)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for reach in (36, -1):  # -1: no fingerprints are near
+        monkeypatch.setattr(simhash, "REACH", reach)
+        got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+        assert [got[i] for i in range(160)] == [i - i % 2 for i in range(160)]
