@@ -34,7 +34,7 @@ from chronotext.llm.registry import query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of texts segmented at a time; lattice states a task remembers.
-CHUNK, REMEMBER = 100_000, 600_000
+CHUNK, REMEMBER = 50_000, 300_000
 END = -1
 
 
@@ -448,7 +448,8 @@ def encoded(docs: DataFrame, k: int, seed: int = 42, key: str = "doc_id", path:
         lattices = Lattices(vocabulary)
         for batch in batches:
             ids, texts, keys, size = [], [], [], 0
-            for doc, row_key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for doc, row_key, text in zip(*(batch.column(c) for c in range(3)), strict=True):  # one text at a time
+                doc, row_key, text = doc.as_py(), row_key.as_py(), text.as_py()
                 words = (MARK + text.replace(" ", " " + MARK)).split(" ") if text else []
                 ids.append(doc)
                 texts.append(words)
