@@ -12,7 +12,8 @@ into components as all links would.
 `WIDE` fingerprints of a text are taken from mixed shingle hashes and cut into bands of 16 bits. Texts that agree in a band
 and in most bits of two fingerprints, and whose sizes allow it, are loosely linked; a band tells only what hangs together in it,
 never its pairs. Some alike texts agree in no band, or in too few bits, so texts of such sizes that share one of their rarest shingles are
-linked, too: of so many that no two alike texts share none (prefix filter, Chaudhuri et al. 2006). What hangs together over all
+linked, too: of so many that two alike texts share a stated number of them (prefix filter, Chaudhuri et al. 2006); texts that do not share
+as many with all others together are left out before. What hangs together over all
 bands and shingles is dealt into blocks by size, and all texts of a block, and of two blocks whose sizes allow it, are compared
 by their shingles inside a task, which returns a spanning forest of the texts that are alike.
 """
@@ -234,11 +235,18 @@ def shingle_counts(rows: DataFrame, shingle: int) -> np.ndarray:
     return found.reshape(-1)
 
 
+def rare_needed(size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(room, shared) for sets of these sizes: two alike sets have `shared` of their `room` rarest shingles in common, by the smaller."""
+    apart = size - np.ceil(similarity * size - 1e-6).astype(np.int64)  # of its shingles a set has so many alone, at most
+    shared = np.maximum(1, (apart + 1) // 2)
+    return apart + shared, shared
+
+
 def rare_shingles(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of a text's shingles, so many that two texts as alike as `similarity` share one, without those that only it has."""
-    room = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    """The rarest of a text's shingles (see `rare_needed`), without those that only it has."""
+    room, _ = rare_needed(np.array(len(hashes)), similarity)
     texts = counts[hashes % np.uint64(CELLS)]
-    first = np.lexsort((hashes, texts))[:room]
+    first = np.lexsort((hashes, texts))[: int(room)]
     return hashes[first[texts[first] > 1]]
 
 
@@ -338,6 +346,35 @@ def loose_links(prints: DataFrame, similarity: float) -> DataFrame:
             arrays = [np.concatenate([np.zeros(0, np.int64), *keys]), *beside]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "name", "size"])
 
+    def met_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(name, n): of how many of its shingles a text is not the only one, by task."""
+        last, held, n = None, [], 0
+        for batch in batches:
+            key, name, size = (c.to_numpy() for c in batch.columns)
+            if last is not None:  # the last row of the batch before has not met the first of this one
+                key, name, known = np.r_[last[0], key], np.r_[last[1], name], last[2]
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            met = np.r_[known if last is not None else False, same] | np.r_[same, False]
+            held.append(name[:-1][met[:-1]])
+            last, n = (key[-1], name[-1], bool(met[-1])), n + len(held[-1])
+            if n >= EDGES:
+                yield told(held)
+                held, n = [], 0
+        if last is not None:
+            yield told([*held, np.array([last[1]] if last[2] else [], np.int64)])
+
+    def told(names: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(names), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["name", "n"])
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy().astype(np.int64)
+            least = rare_needed(np.ceil(similarity * size - 1e-6).astype(np.int64), similarity)[1]  # of the smallest that may be alike
+            yield batch.filter(pa.array(batch.column(3).to_numpy() >= least))
+
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, n = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], [], 0
         for batch in batches:
@@ -359,8 +396,12 @@ def loose_links(prints: DataFrame, similarity: float) -> DataFrame:
 
     rows = prints.select("name", "wide", "size").mapInArrow(banded, "key long, c long, d long, name long, size int")
     found = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(met, "a long, b long")
-    rare = prints.select("name", "rare", "size").mapInArrow(listed, "key long, name long, size int")
-    found = found.union(rare.repartition("key").sortWithinPartitions("key", "size", "name").mapInArrow(chained, "a long, b long"))
+    kind = "key long, name long, size int"
+    rare = prints.select("name", "rare", "size").mapInArrow(listed, kind).repartition("key").sortWithinPartitions("key")
+    shared = stage(rare.mapInArrow(met_others, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "shared")
+    likely = prints.select("name", "rare", "size").join(shared, "name").mapInArrow(enough, "name long, rare binary, size int, n long")
+    rare = likely.select("name", "rare", "size").mapInArrow(listed, kind).repartition("key").sortWithinPartitions("key", "size", "name")
+    found = found.union(rare.mapInArrow(chained, "a long, b long"))
     found = stage(found, "loose")  # every band and shingle has links of its own: what a task has of them is contracted, then all
     return found.repartition(max(1, found.count() // EDGES)).mapInArrow(contracted, "a long, b long")
 
